@@ -57,7 +57,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """docs with the repeated lines removed; drop_emptied leaves out documents of which no line is left."""
     win = materialize(windows(docs, id_col, text_col), "windows")
     gone = covered(win)
-    names = [c for c in docs.columns if c != "lines_removed"]
+    names = [c for c in docs.columns if c.lower() != "lines_removed"]
     packed = docs.select(F.struct(*[docs[f"`{c}`"] for c in names]).alias("__row"), *key_columns(id_col, text_col))
     joined = packed.join(gone, ["__n", "__d", "__h"], "left")
     text = F.col("__row")[text_col]
