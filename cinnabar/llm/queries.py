@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from cinnabar.llm.common import table
 from cinnabar.llm.language_id import fit_prototypes, identify
 from cinnabar.llm.line_dedup import line_dedup
+from cinnabar.llm.near_dedup import near_duplicates
 from cinnabar.llm.reply_tree import SCORE_WORDS, reply_trees, tree_from_turns
 from cinnabar.llm.url_filter import url_filter
 
@@ -88,6 +89,10 @@ select page_id, url, coalesce(a, 'allow') as decision, e as entry, coalesce(dept
 """
 
 
+def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reply_trees(tree_from_turns(table(spark, sf_dir, "conversations")))
 
@@ -126,6 +131,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_line_dedup": op3_line_dedup,
     "op5_language_id": op5_language_id,
     "op6_url_filters": op6_url_filters,
+    "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_reply_trees": op10_reply_trees,
 }
 
