@@ -5,11 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cinnabar.llm.common import table
 from cinnabar.llm.language_id import fit_prototypes, identify
 from cinnabar.llm.line_dedup import line_dedup
+from cinnabar.llm.mixing import DOMAINS, mixing_rates
 from cinnabar.llm.near_dedup import near_duplicates
+from cinnabar.llm.order_minhash import order_minhash
 from cinnabar.llm.reply_tree import SCORE_WORDS, reply_trees, tree_from_turns
 from cinnabar.llm.url_filter import url_filter
 
@@ -52,6 +55,15 @@ from documents d left join n on n.doc_id = d.doc_id left join kept k on k.doc_id
 """
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rates = mixing_rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return rates.select(F.when(~F.col("__n"), F.col("__d")).alias("doc_id"), "tokens", *[f"p_{d}" for d in DOMAINS], "rate")
+
+
+def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash(table(spark, sf_dir, "documents"), keep=["doc_id"])
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return identify(docs, fit_prototypes(docs), keep=["doc_id"])
@@ -128,7 +140,9 @@ select conv as conv_id, branch, len(path) as n_messages, score, said as text fro
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_mixing": op2_mixing,
     "op3_line_dedup": op3_line_dedup,
+    "op4_order_minhash": op4_order_minhash,
     "op5_language_id": op5_language_id,
     "op6_url_filters": op6_url_filters,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
