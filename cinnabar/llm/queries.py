@@ -7,12 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cinnabar.llm.chunk_store import chunk_store
 from cinnabar.llm.common import table
 from cinnabar.llm.language_id import fit_prototypes, identify
 from cinnabar.llm.line_dedup import line_dedup
+from cinnabar.llm.media import declared_by_url, sniff_media
 from cinnabar.llm.mixing import DOMAINS, mixing_rates
 from cinnabar.llm.near_dedup import near_duplicates
 from cinnabar.llm.order_minhash import order_minhash
+from cinnabar.llm.packing import pack
 from cinnabar.llm.reply_tree import SCORE_WORDS, reply_trees, tree_from_turns
 from cinnabar.llm.url_filter import url_filter
 
@@ -101,6 +104,19 @@ select page_id, url, coalesce(a, 'allow') as decision, e as entry, coalesce(dept
 """
 
 
+def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "html", declared_by_url(F.col("url")).alias("declared"))
+    return sniff_media(pages, "html", "declared", keep=["page_id", "declared"])
+
+
+def op7_chunk_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk_store(table(spark, sf_dir, "documents"))
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -140,11 +156,14 @@ select conv as conv_id, branch, len(path) as n_messages, score, said as text fro
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_media_columns": op1_media_columns,
     "op2_mixing": op2_mixing,
     "op3_line_dedup": op3_line_dedup,
     "op4_order_minhash": op4_order_minhash,
     "op5_language_id": op5_language_id,
     "op6_url_filters": op6_url_filters,
+    "op7_chunk_store": op7_chunk_store,
+    "op8_packing": op8_packing,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_reply_trees": op10_reply_trees,
 }
