@@ -3,11 +3,12 @@
 1. A softmax classifier, fitted on at most `train_rows` labelled documents (chosen by a hash of the id), gives every
    document a posterior p over the domains.
 2. Nonnegative rates r are fitted so that the expected domain token totals t_k = sum r * tokens * p_k match targets:
-   projected gradient on the least squares |t - T|, in the norm of the inverse of G = sum tokens * p p', where the
-   gradient step of length 1 is r <- max(0, r - p . G^-1 (t - T)).  One step is exact while no rate reaches 0.
-   A step needs only the k totals of one distributed sum; the rates are a function of p and the steps so far, so no
+   projected gradient on the least squares |t - T|, scaled by the inverse of G = sum tokens * p p' over the rows whose
+   rate is above 0, so that a step is r <- max(0, r - p . G^-1 (t - T)).  A step is exact unless more rates reach 0.
+   It needs only the k totals and G, one distributed sum; the rates are a function of p and the steps so far, so no
    state is kept by document.
-3. Unless a total is given, it is the largest at which no domain's expected tokens need exceed what there is.
+3. Unless a total is given, it is the one at which the domain `whole` is to have all of its tokens; where that domain has
+   no mass or target, it is the largest at which no domain's expected tokens need exceed what there is.
 
 Defined cases
 * A null or wordless text has 0 tokens; it takes no part in the totals and gets a rate by its posterior alike.
@@ -30,7 +31,8 @@ from cinnabar.llm.common import key_columns, materialize
 from cinnabar.llm.textkern import distinct_per_row, groups, span_hashes, utf8, word_spans
 
 DOMAINS = ["toxic", "low", "high"]
-TARGETS = {"high": 0.85, "low": 0.12, "toxic": 0.03}
+TARGETS = {"high": 0.86, "low": 0.13, "toxic": 0.01}
+WHOLE = "high"
 SLOTS = 1 << 18
 #: Numbers about a text beside its words.
 SHAPE = 6
@@ -172,32 +174,52 @@ def rate(steps: list[np.ndarray]) -> Column:
     return r
 
 
-def fit_rates(p: DataFrame, targets: dict[str, float], total: float | None = None, most: int = 40, close: float = 1e-6) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+def _pass(p: DataFrame, steps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Under the rates after these steps: each domain's expected tokens, and the Gram matrix of the rows with a rate above 0."""
+    names, k = [f"p_{d}" for d in DOMAINS], len(DOMAINS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, gram = np.zeros(k), np.zeros((k, k))
+        for b in batches:
+            x = np.stack([b.column(c).to_numpy(zero_copy_only=False) for c in names], axis=1)
+            tokens = b.column("tokens").to_numpy(zero_copy_only=False).astype(float)
+            r = np.ones(len(tokens))
+            for step in steps:
+                r = np.maximum(0.0, r - x @ step)
+            total += (r * tokens) @ x
+            live = x[r > 0]
+            gram += live.T @ (live * tokens[r > 0, None])
+        yield pa.RecordBatch.from_pydict({"k": np.arange(k + k * k, dtype=np.int32), "x": np.concatenate([total, gram.ravel()])})
+
+    sums = p.select("tokens", *names).mapInArrow(run, "k int, x double").groupBy("k").agg(F.sum("x").alias("x")).collect()
+    out = np.zeros(k + k * k)
+    for row in sums:
+        out[row["k"]] = row["x"]
+    return out[:k], out[k:].reshape(k, k)
+
+
+def fit_rates(p: DataFrame, targets: dict[str, float], total: float | None = None, whole: str = WHOLE, most: int = 40, close: float = 1e-6) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """The steps of the fit, the target totals and the totals reached.  Only sums over all rows reach the driver."""
-    names = [f"p_{d}" for d in DOMAINS]
-    cells = [F.coalesce(F.sum(F.col("tokens") * F.col(a) * F.col(b)), F.lit(0.0)) for a in names for b in names]
-    masses = [F.coalesce(F.sum(F.col("tokens") * F.col(a)), F.lit(0.0)) for a in names]
-    first = np.array(p.agg(*[c.alias(f"x{k}") for k, c in enumerate([*cells, *masses])]).first(), float)
-    k = len(DOMAINS)
-    gram, mass = first[: k * k].reshape(k, k), first[k * k :]
+    mass, gram = _pass(p, [])
     weight = np.array([targets.get(d, 0.0) for d in DOMAINS])
     weight = weight / weight.sum()
     live = (mass > 0) & (weight > 0)
     if not live.any():
-        return [], np.zeros(k), mass
-    goal = weight * (total if total is not None else float((mass[live] / weight[live]).min()))
-    inverse = np.linalg.pinv(gram)
+        return [], np.zeros(len(DOMAINS)), mass
+    if total is None:
+        least = (mass / np.where(live, weight, 1.0))[live].min()
+        main = DOMAINS.index(whole)
+        total = float(mass[main] / weight[main] if live[main] else least)
+    goal = weight * total
     steps: list[np.ndarray] = []
     now = mass
     while len(steps) < most and np.abs(now - goal).sum() > close * goal.sum():
-        steps.append(inverse @ (now - goal))
-        r = rate(steps)
-        sums = [F.coalesce(F.sum(r * F.col("tokens") * F.col(a)), F.lit(0.0)).alias(a) for a in names]
-        after = np.array(p.agg(*sums).first(), float)
-        if np.abs(after - now).sum() < close * 1e-3 * goal.sum():
-            now = after
-            break
+        steps.append(np.linalg.pinv(gram) @ (now - goal))
+        after, gram = _pass(p, steps)
+        same = np.abs(after - now).sum() < close * 1e-3 * goal.sum()
         now = after
+        if same:
+            break
     return steps, goal, now
 
 
