@@ -1,13 +1,13 @@
 """Near-duplicate documents: SimHash, and navigable small-world graphs over Hamming distance.
 
 1. Every text gets a 256-bit SimHash of its distinct words; equal codes are one node (its smallest id stands for it).
-2. Nodes are routed to shards.  With N nodes and shards of about `shard_nodes`, r = log2(N / shard_nodes) bits of a
-   code name its shard, in each of B tables that look at other bits; B is the least number by which two codes at the
-   full radius share a shard with probability 0.9 (nearer ones nearly always).  Up to shard_nodes there is one shard,
-   and the work grows as N log N at every size.
+2. Nodes are routed to shards of about `shard_nodes`, in each of several tables, by a weighted min-hash of their words
+   (weights idf^2 over the whole corpus): two texts meet in a table with the probability of their words' weighted
+   Jaccard likeness, which is about TOGETHER or more within the radius however large the corpus.  Beyond 2^16 shards
+   a key is made of two words, then three; the number of tables is the least by which a pair meets with 0.97.
 3. A shard builds its graph, and every one of its nodes is a query to it, with a beam that widens until it holds all
-   neighbours within the radius.  Each found pair's distance is exact, so every edge is verified.  A crowded shard
-   holds several graphs of shard_nodes nodes, and all of its queries go to each.
+   neighbours within the radius.  Each found pair's distance is exact, so every edge is verified.  A shard of more than
+   `graph_nodes` nodes holds several graphs, and all of its queries go to each.
 4. The edges are united; the smallest id of a component stays.
 5. The recall is audited: `audit` nodes, chosen by hash, are compared with all nodes exactly.  If fewer than `recall`
    of their true pairs are in one group, the search is repeated with beams twice as wide and twice the tables.
@@ -26,59 +26,53 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cinnabar.llm.common import discard, materialize
+from cinnabar.llm.frequency import Statistics, preference, statistics
 from cinnabar.llm.graph import roots
-from cinnabar.llm.simhash import BITS, WORDS, emit
+from cinnabar.llm.simhash import WORDS, emit
 from cinnabar.llm.small_world import SmallWorld, components, exact_within
 
 RADIUS = 52
+#: Weight of a word in routing: idf to this power; and how likely near copies share the least word.
+POWER, TOGETHER = 2, 0.75
 CODE = [f"c{w}" for w in range(WORDS)]
 
 
-def codes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(d, c0..c3): the id and SimHash of every document that has both an id and a word."""
-    given = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("t")).where("d is not null and t is not null")
-    hashed = given.mapInArrow(emit, "d long, " + ", ".join(f"{c} long" for c in CODE))
-    return hashed.where(" or ".join(f"{c} <> 0" for c in CODE))
-
+def routing(n: int, shard_nodes: int, share: float = 0.97) -> tuple[int, int, int]:
+    """The number of shards, words in a key, and tables."""
+    shards = max(1, math.ceil(n / shard_nodes))
+    words = max(1, math.ceil(math.log2(shards) / 16))
+    return shards, words, 1 if shards == 1 else math.ceil(math.log(1 - share) / math.log(1 - TOGETHER**words))
 
-def routing(n: int, shard_nodes: int, radius: int, share: float = 0.9) -> tuple[int, int]:
-    """Bits that name a shard, and the number of tables."""
-    bits = max(0, math.ceil(math.log2(max(1, n) / shard_nodes)))
-    together = (1 - radius / BITS) ** bits
-    return bits, 1 if not bits else math.ceil(math.log(1 - share) / math.log(1 - together))
 
-
-def _shard(table: int, bits: int) -> Column:
-    """The number that the table's bits of a code make."""
-    spots = np.random.default_rng(table).permutation(BITS)[:bits]
-    value = F.lit(0).cast("long")
-    for k, spot in enumerate(spots.tolist()):
-        value = value + F.shiftleft(F.shiftrightunsigned(F.col(CODE[spot // 64]), spot % 64).bitwiseAND(F.lit(1).cast("long")), k)
-    return F.struct(F.lit(table).alias("tab"), value.alias("shard"))
+def codes(docs: DataFrame, stats: Statistics, keys: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(d, c0..c3, k0..): the id, SimHash and routing words of every document that has both an id and a word."""
+    shared = docs.sparkSession.sparkContext.broadcast(np.stack([preference(stats, 100 + k, POWER) for k in range(keys)]))
+    given = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("t")).where("d is not null and t is not null")
+    hashed = given.mapInArrow(emit(lambda: shared.value), "d long, " + ", ".join(f"{c} long" for c in [*CODE, *[f"k{k}" for k in range(keys)]]))
+    return hashed.where(" or ".join(f"{c} <> 0" for c in CODE))
 
 
 def _matrix(table: pa.Table | pa.RecordBatch) -> np.ndarray:
     return np.stack([np.asarray(table.column(c).to_numpy()).view(np.uint64) if isinstance(table, pa.Table) else table.column(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in CODE], axis=1)
 
 
-def edges(nodes: DataFrame, bits: int, tables: int, radius: int, beam: int, shard_nodes: int) -> DataFrame:
+def edges(nodes: DataFrame, shards: int, words: int, tables: int, radius: int, beam: int, graph_nodes: int) -> DataFrame:
     """(a, b), a > b: each node that has a neighbour, and the smallest node that it reaches within its shard."""
-    placed = nodes.select("d", *CODE, F.inline(F.array(*[_shard(t, bits) for t in range(tables)])))
+    key = lambda t: F.pmod(F.xxhash64(*[f"k{t * words + k}" for k in range(words)]), F.lit(shards))
+    placed = nodes.select("d", *CODE, F.inline(F.array(*[F.struct(F.lit(t).alias("tab"), key(t).alias("shard")) for t in range(tables)])))
 
     def search(shard: pa.Table) -> pa.Table:
         shard = shard.sort_by("d")
         ids, all_codes = shard.column("d").to_numpy(), _matrix(shard)
-        one, two = [], []
-        for start in range(0, len(ids), shard_nodes):
-            world = SmallWorld(all_codes[start : start + shard_nodes])
-            query, node, _ = world.within(all_codes, radius, beam)
-            one.append(query)
-            two.append(node + start)
-        root = components(len(ids), np.concatenate(one), np.concatenate(two))
+        root = np.arange(len(ids))
+        for start in range(0, len(ids), graph_nodes):
+            world = SmallWorld(all_codes[start : start + graph_nodes])
+            for query, node, _ in world.within(all_codes, radius, beam):
+                root = components(root, query, node + start)
         linked = root != np.arange(len(ids))
         return pa.table({"a": ids[linked], "b": ids[root[linked]]})
 
@@ -105,24 +99,33 @@ def audited(nodes: DataFrame, root: DataFrame, radius: int, sample: int) -> tupl
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shard_nodes: int = 1 << 17, beam: int = 16, audit: int = 512, recall: float = 0.9
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shard_nodes: int = 1 << 11, graph_nodes: int = 1 << 16, beam: int = 16, audit: int = 512, recall: float = 0.9
 ) -> DataFrame:
     """(doc_id, kept_doc_id): every document that is a copy, exact or near, and the one of its group that stays."""
-    coded = materialize(codes(docs, id_col, text_col), "codes")
-    nodes = materialize(coded.groupBy(*CODE).agg(F.min("d").alias("d")), "nodes")
-    bits, tables = routing(nodes.count(), shard_nodes, radius)
-    # an id with several codes stands for several nodes: they are one document, hence linked by the id itself
-    members = coded.join(nodes.withColumnRenamed("d", "b"), CODE).select(F.col("d").alias("a"), "b").distinct()
+    stats = statistics(docs, text_col)
+    shards, words, tables = routing(stats.n, shard_nodes)
+
+    def coding(tables: int) -> tuple[DataFrame, DataFrame]:
+        keys = [f"k{k}" for k in range(words * tables)]
+        coded = materialize(codes(docs, stats, len(keys), id_col, text_col), "codes")
+        return coded, materialize(coded.groupBy(*CODE).agg(F.min(F.struct("d", *keys)).alias("m")).select(*CODE, "m.*"), "nodes")
+
+    coded, nodes = coding(tables)
     while True:
-        found = edges(nodes, bits, tables, radius, beam, shard_nodes)
+        found = edges(nodes, shards, words, tables, radius, beam, graph_nodes)
         root = roots(found.select(F.col("a"), F.col("b")), "edges")
         true, united = audited(nodes, root, radius, audit)
         if united >= recall * true:
             break
-        if tables > 64 * max(1, bits) or beam > 1024:
+        if beam > 1024:
             raise RuntimeError(f"the audit found {united} of {true} pairs with beams of {beam} and {tables} tables")
         discard(root)
-        beam, tables = beam * 2, tables * 2 if bits else 1
+        discard(coded)
+        discard(nodes)
+        beam, tables = beam * 2, tables * 2 if shards > 1 else 1
+        coded, nodes = coding(tables)
+    # an id with several codes stands for several nodes: they are one document, hence linked by the id itself
+    members = coded.join(nodes.select(*CODE, F.col("d").alias("b")), CODE).select(F.col("d").alias("a"), "b").distinct()
     to = root.select(F.col("a").alias("b"), F.col("b").alias("r"))
     kept = members.join(to, "b", "left").groupBy("a").agg(F.min(F.coalesce("r", "b")).alias("kept"))
     return kept.where("a <> kept").select(F.col("a").alias("doc_id"), F.col("kept").alias("kept_doc_id"))

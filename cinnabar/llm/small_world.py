@@ -11,6 +11,8 @@ whether the node's links are still to be followed.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 from cinnabar.llm.textkern import mix64, ragged
@@ -18,6 +20,8 @@ from cinnabar.llm.textkern import mix64, ragged
 U64 = np.uint64
 OPEN = U64(1)
 BATCH = 8192
+#: Nodes in the beams of a batch, at most.
+ROOM = 1 << 21
 
 
 def hamming(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -121,38 +125,36 @@ class SmallWorld:
             good = dist < worst[query]
             keys = _beams(np.concatenate([keys, _keys(query[good], dist[good], target[good])]), width)
 
-    def within(self, queries: np.ndarray, radius: int, beam: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(query, node, distance) of all nodes found within the radius.
+    def within(self, queries: np.ndarray, radius: int, beam: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Parts of (query, node, distance) of all nodes found within the radius.
 
         The beam of a query is doubled until its outer half holds no neighbour and doubling finds no further one.
+        Beams of more than ROOM nodes in all are searched in halves, so that memory is bounded.
         """
-        found: list[np.ndarray] = []
         for start in range(0, len(queries), BATCH):
             part = queries[start : start + BATCH]
             rows = np.arange(len(part))
             width = np.full(len(part), beam)
-            keys = self.search(part, width)
-            before = np.full(len(part), -1)
-            while True:
+            todo = [(rows, np.full(len(part), -1), width, self.search(part, width))]
+            while todo:
+                rows, before, width, keys = todo.pop()
                 inside = _dist(keys) <= radius
                 query = _query(keys)
                 hits = np.bincount(query[inside], minlength=len(rows))
                 more = (hits > 0) & (hits * 2 > width) | (hits > 0) & (before >= 0) & (hits > before)
                 more &= width < 2 * len(self.codes)
                 ended = keys[inside & ~more[query]]
-                found.append(np.stack([rows[_query(ended)] + start, _node(ended), _dist(ended)]))
+                yield rows[_query(ended)] + start, _node(ended), _dist(ended)
                 if not more.any():
-                    break
+                    continue
                 keys = keys[more[query]]
-                renumber = np.cumsum(more) - 1
-                query = renumber[_query(keys)]
+                query = (np.cumsum(more) - 1)[_query(keys)]
                 keys = _keys(query, _dist(keys), _node(keys))
                 rows, before, width = rows[more], hits[more], width[more] * 2
-                keys = self.search(part[rows], width, keys)
-        if not found:
-            return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
-        query, node, dist = np.concatenate(found, axis=1)
-        return query, node, dist
+                pieces = min(len(rows), -(-int(np.minimum(width, len(self.codes)).sum()) // ROOM))
+                for some in np.array_split(np.arange(len(rows)), pieces):
+                    own = keys[(query >= some[0]) & (query <= some[-1])] - (U64(some[0]) << U64(43))
+                    todo.append((rows[some], before[some], width[some], self.search(part[rows[some]], width[some], own)))
 
 
 def exact_within(codes: np.ndarray, queries: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -165,20 +167,19 @@ def exact_within(codes: np.ndarray, queries: np.ndarray, radius: int) -> tuple[n
     return (np.concatenate(one), np.concatenate(two)) if one else (np.empty(0, np.int64), np.empty(0, np.int64))
 
 
-def components(n: int, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-    """The smallest member of each node's connected component (hook and shortcut until nothing changes)."""
-    root = np.arange(n)
+def components(root: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """The smallest member of each node's component, given those so far and more edges (hook and shortcut until nothing changes)."""
     while True:
         a, b = root[one], root[two]
-        low = np.minimum(a, b)
-        new = root.copy()
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
+        apart = a != b
+        if not apart.any():
+            return root
+        one, two = one[apart], two[apart]
+        low, high = np.minimum(a, b)[apart], np.maximum(a, b)[apart]
+        root = root.copy()
+        np.minimum.at(root, high, low)
         while True:
-            short = new[new]
-            if (short == new).all():
+            short = root[root]
+            if (short == root).all():
                 break
-            new = short
-        if (new == root).all():
-            return root
-        root = new
+            root = short
