@@ -4,7 +4,8 @@
    document a posterior p over the domains.
 2. Nonnegative rates r are fitted so that the expected domain token totals t_k = sum r * tokens * p_k match targets:
    projected gradient on the least squares |t - T|, scaled by the inverse of G = sum tokens * p p' over the rows whose
-   rate is above 0, so that a step is r <- max(0, r - p . G^-1 (t - T)).  A step is exact unless more rates reach 0.
+   rate is inside [0, CEILING], so that a step is r <- clip(r - p . G^-1 (t - T)), halved until it comes nearer.  A step
+   is exact unless more rates reach a bound; targets that no such rates meet are met as nearly as the steps come.
    It needs only the k totals and G, one distributed sum; the rates are a function of p and the steps so far, so no
    state is kept by document.
 3. Unless a total is given, it is the one at which the domain `whole` is to have all of its tokens; where that domain has
@@ -33,6 +34,8 @@ from cinnabar.llm.textkern import distinct_per_row, groups, span_hashes, utf8, w
 DOMAINS = ["toxic", "low", "high"]
 TARGETS = {"high": 0.86, "low": 0.13, "toxic": 0.01}
 WHOLE = "high"
+#: No document is wanted more often than this.
+CEILING = 4.0
 SLOTS = 1 << 18
 #: Numbers about a text beside its words.
 SHAPE = 6
@@ -170,7 +173,7 @@ def rate(steps: list[np.ndarray]) -> Column:
     r = F.lit(1.0)
     for step in steps:
         move = sum((F.col(f"p_{d}") * float(step[k]) for k, d in enumerate(DOMAINS)), F.lit(0.0))
-        r = F.greatest(F.lit(0.0), r - move)
+        r = F.least(F.lit(CEILING), F.greatest(F.lit(0.0), r - move))
     return r
 
 
@@ -185,10 +188,10 @@ def _pass(p: DataFrame, steps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray
             tokens = b.column("tokens").to_numpy(zero_copy_only=False).astype(float)
             r = np.ones(len(tokens))
             for step in steps:
-                r = np.maximum(0.0, r - x @ step)
+                r = np.clip(r - x @ step, 0.0, CEILING)
             total += (r * tokens) @ x
-            live = x[r > 0]
-            gram += live.T @ (live * tokens[r > 0, None])
+            free = (r > 0) & (r < CEILING)
+            gram += x[free].T @ (x[free] * tokens[free, None])
         yield pa.RecordBatch.from_pydict({"k": np.arange(k + k * k, dtype=np.int32), "x": np.concatenate([total, gram.ravel()])})
 
     sums = p.select("tokens", *names).mapInArrow(run, "k int, x double").groupBy("k").agg(F.sum("x").alias("x")).collect()
@@ -214,12 +217,19 @@ def fit_rates(p: DataFrame, targets: dict[str, float], total: float | None = Non
     steps: list[np.ndarray] = []
     now = mass
     while len(steps) < most and np.abs(now - goal).sum() > close * goal.sum():
-        steps.append(np.linalg.pinv(gram) @ (now - goal))
-        after, gram = _pass(p, steps)
-        same = np.abs(after - now).sum() < close * 1e-3 * goal.sum()
-        now = after
-        if same:
+        step = np.linalg.pinv(gram, rcond=1e-6) @ (now - goal)
+        miss, passes = np.abs(now - goal).sum(), 0
+        while True:  # halved until it comes nearer
+            after, free = _pass(p, [*steps, step])
+            passes += 1
+            gain = miss - np.abs(after - goal).sum()
+            if gain > 0 or passes == 6:
+                break
+            step = step / 2
+        if gain <= close * 1e-3 * goal.sum():
             break
+        steps.append(step)
+        now, gram = after, free
     return steps, goal, now
 
 
