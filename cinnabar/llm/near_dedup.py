@@ -63,7 +63,10 @@ def _matrix(table: pa.Table | pa.RecordBatch) -> np.ndarray:
 def edges(nodes: DataFrame, shards: int, words: int, tables: int, radius: int, beam: int, graph_nodes: int) -> DataFrame:
     """(a, b), a > b: each node that has a neighbour, and the smallest node that it reaches within its shard."""
     key = lambda t: F.pmod(F.xxhash64(*[f"k{t * words + k}" for k in range(words)]), F.lit(shards))
+    # few bytes but much work: by their number, as partitions sized by bytes would be too few
+    tasks = max(1, tables * shards // 4)
     placed = nodes.select("d", *CODE, F.inline(F.array(*[F.struct(F.lit(t).alias("tab"), key(t).alias("shard")) for t in range(tables)])))
+    placed = placed.repartition(tasks, "tab", "shard")
 
     def search(shard: pa.Table) -> pa.Table:
         shard = shard.sort_by("d")
