@@ -313,3 +313,9 @@ def test_pipeline_stages(spark):
         x = docs(spark, rows)
         for _, stage in CP.STAGES:
             stage(spark, x, SF).collect()
+
+
+def test_packing_over_shards_equals_one_index(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    found = [sorted(map(tuple, PK.pack(d, window=900, shard_docs=n).select("doc_ids", "starts", "lengths").collect())) for n in (100, 8192)]
+    assert found[0] == found[1]
