@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cinnabar.functions import text as X
 
 BITS = 64
+BLOCKS = 24
 
 
 def exact_duplicates(records: DataFrame) -> DataFrame:
@@ -51,17 +52,25 @@ def word_features(records: DataFrame, weight: int = 1) -> DataFrame:
 
 
 def hamming_pairs(hashes: DataFrame, radius: int) -> DataFrame:
-    """All pairs within a Hamming radius, exactly: two hashes within r agree on one of r + 1 bands at least."""
-    bands, at = radius + 1, 0
+    """All pairs within a Hamming radius, exactly: two hashes within r agree on one of r + 1 bands at least.
+
+    Where bands are so narrow that chance makes pairs meet more than once on average, all pairs are compared, in BLOCKS parts.
+    """
+    widths = [BITS // (radius + 1) + (k < BITS % (radius + 1)) for k in range(radius + 1)]
+    at = 0
     columns = []
-    for k in range(bands):
-        width = BITS // bands + (k < BITS % bands)
+    for k, width in enumerate(widths):
         columns.append(F.struct(F.lit(k).alias("band"), F.shiftrightunsigned(F.col("simhash"), at).bitwiseAND(F.lit((1 << width) - 1).cast("long")).alias("part")))
         at += width
     # equal hashes would meet in every band: they are one node, opened again at the end
     nodes = hashes.groupBy("simhash").agg(F.min("id").alias("node"))
-    banded = nodes.select("node", "simhash", F.inline(F.array(*columns)))
-    a, b = banded.alias("a"), banded.alias("b")
+    if sum(2.0**-w for w in widths) < 1:
+        one = two = nodes.select("node", "simhash", F.inline(F.array(*columns)))
+    else:
+        whole = nodes.withColumn("band", F.lit(0))
+        one = whole.withColumn("part", F.pmod(F.xxhash64("node"), F.lit(BLOCKS)))
+        two = whole.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(BLOCKS - 1).cast("long"))))
+    a, b = one.alias("a"), two.alias("b")
     near = X.hamming(F.col("a.simhash"), F.col("b.simhash"))
     met = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.part") == F.col("b.part")) & (F.col("a.node") < F.col("b.node")) & (near <= radius))
     met = met.select(F.col("a.simhash").alias("one"), F.col("b.simhash").alias("two")).distinct()

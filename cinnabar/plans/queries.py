@@ -101,6 +101,20 @@ def confidence_bands(spark, d):
     return detect.bands(detect.detect(_records(spark, d), "simhash", radius=3))
 
 
+@_query(f"""with {SIMHASH}, p as (select a.id as id_a, b.id as id_b, bit_count(xor(a.x::ubigint, b.x::ubigint))::int as distance from s a join s b on a.id < b.id)
+select id_a, id_b, distance, 1 - distance / 64.0::double as similarity_score from p where distance <= 12""")
+def simhash_pairs_12(spark, d):
+    """Within the reference's production radius."""
+    return detect.detect(_records(spark, d), "simhash", radius=12)
+
+
+@_query(f"""with {SIMHASH}, p as (select 1 - bit_count(xor(a.x::ubigint, b.x::ubigint)) / 64.0 as s from s a join s b on a.id < b.id where bit_count(xor(a.x::ubigint, b.x::ubigint)) <= 19)
+select case when s >= 0.9 then 'high' when s >= 0.7 then 'medium' else 'low' end as band, count(*) as n from p group by 1""")
+def confidence_bands_19(spark, d):
+    """All pairs down to a similarity of 0.7."""
+    return detect.bands(detect.detect(_records(spark, d), "simhash", radius=19))
+
+
 @_query("""with g as (select count(*) as n from documents group by text having count(*) > 1), t as (select count(*) as total from documents),
 s as (select count(*) as groups, coalesce(sum(n - 1), 0)::bigint as duplicates from g)
 select groups, duplicates, total, round(duplicates * 100.0::double / total, 4) as rate,

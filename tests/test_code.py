@@ -152,3 +152,14 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() == 10
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_wide_hamming_radii_against_all_pairs(spark):
+    from cinnabar.plans import queries as Q
+
+    codes = [(r["id"], r["simhash"]) for r in Q.simhash_codes(spark, "/root/testdata/sf0.01").collect()]
+    near = [(min(i, j), max(i, j), ((x ^ y) & (2**64 - 1)).bit_count()) for k, (i, x) in enumerate(codes) for j, y in codes[:k]]
+    got = {(r["id_a"], r["id_b"], r["distance"]) for r in Q.QUERIES["simhash_pairs_12"](spark, "/root/testdata/sf0.01").collect()}
+    assert got == {p for p in near if p[2] <= 12} and any(p[2] > 3 for p in got)
+    bands = {r["band"]: r["n"] for r in Q.QUERIES["confidence_bands_19"](spark, "/root/testdata/sf0.01").collect()}
+    assert bands == {"high": sum(p[2] <= 6 for p in near), "medium": sum(6 < p[2] <= 19 for p in near)}
