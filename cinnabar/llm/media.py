@@ -326,7 +326,9 @@ SIGNATURES: list[tuple[bytes, Callable[[bytes, int], Found]]] = [
     (b"\xff\xfa", _mp3), (b"ftyp", _mp4), (b"II*\0", _tiff), (b"MM\0*", _tiff), (b"\x1a\x45\xdf\xa3", _ebml), (b"<svg", _svg), (b"<SVG", _svg),
 ]
 _URI = b";base64,"
-_BASE64 = re.compile(rb"[A-Za-z0-9+/]*={0,2}")
+#: White space in a run of base64, plain or escaped.
+_GAP = re.compile(rb"(?:\s|%(?:0[9AaDd]|20))+")
+_BASE64 = re.compile(rb"[A-Za-z0-9+/]*(?:(?:\s|%(?:0[9AaDd]|20))+[A-Za-z0-9+/]+)*(?:(?:\s|%(?:0[9AaDd]|20))*=){0,2}")
 _HTML = re.compile(rb"(?:\xef\xbb\xbf)?\s*(?:<\?xml[^>]*>\s*)?(?:<!--.*?-->\s*)*<(?:!doctype\s+html|html|head|body)\b", re.I | re.S)
 _SVG_START = re.compile(rb"(?:\xef\xbb\xbf)?\s*(?:<\?xml[^>]*>\s*)?(?:<!doctype\s+svg[^>]*>\s*)?(?:<!--.*?-->\s*)*(?=<svg\b)", re.I | re.S)
 _automaton = None
@@ -356,6 +358,25 @@ def _is_text(data: bytes) -> bool:
     return True
 
 
+def _decode(said: bytes) -> bytes:
+    """The bytes of base64 that may be wrapped or lack its padding."""
+    bare = _GAP.sub(b"", said).rstrip(b"=")
+    bare = bare[: len(bare) - (len(bare) % 4 == 1)]
+    return base64.b64decode(bare + b"=" * (-len(bare) % 4))
+
+
+def _end(said: bytes, whole: bytes) -> int:
+    """Where wrapped base64 ends, if words of the text around it follow its item; else 0."""
+    gaps = list(_GAP.finditer(said))
+    size = max((n for at, n, _, how, _ in _items(whole) if at == 0 and how == "none"), default=0) if gaps else 0
+    passed = 0
+    for gap in gaps if size else []:
+        if (gap.start() - passed) * 3 // 4 >= size:
+            return gap.start()
+        passed += gap.end() - gap.start()
+    return 0
+
+
 def _items(data: bytes) -> Iterator[tuple[int, int, str, str, bytes]]:
     """(offset, length, type, encoding, bytes) of every item that holds; a search goes on after an item's end."""
     hits = []
@@ -368,11 +389,15 @@ def _items(data: bytes) -> Iterator[tuple[int, int, str, str, bytes]]:
             continue
         if validator is None:
             run = _BASE64.match(data, at + len(_URI))
-            whole = base64.b64decode(run[0][: len(run[0]) // 4 * 4]) if run and len(run[0]) >= 8 else b""
+            said = run[0] if run and len(run[0]) >= 8 else b""
+            whole = _decode(said)
             kind = sniff(whole)[0] if whole else None
             if kind not in (None, "text/plain", "text/html", "application/octet-stream"):
-                yield run.start(), run.end() - run.start(), kind, "base64", whole
-                after = run.end()
+                if cut := _end(said, whole):
+                    said = said[:cut]
+                    whole = _decode(said)
+                yield run.start(), len(said), kind, "base64", whole
+                after = run.start() + len(said)
         elif found := validator(data, at):
             yield begin, found[0], found[1], "none", data[begin : begin + found[0]]
             if begin:  # nothing is carved inside a part, but within the payload's own item it is

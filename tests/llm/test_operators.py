@@ -319,3 +319,17 @@ def test_packing_over_shards_equals_one_index(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     found = [sorted(map(tuple, PK.pack(d, window=900, shard_docs=n).select("doc_ids", "starts", "lengths").collect())) for n in (100, 8192)]
     assert found[0] == found[1]
+
+
+@pytest.mark.parametrize("kind", sorted(SAMPLES))
+def test_base64_wrapped_or_without_padding(kind):
+    import base64
+
+    data = SAMPLES[kind]
+    said = base64.b64encode(data)
+    for gap in (b"", b"\n", b"\r\n ", b"%0A"):
+        for text in (said, said.rstrip(b"=")):
+            wrapped = gap.join(text[k : k + 20] for k in range(0, len(text), 20))
+            for after in (b'">', b" words follow"):
+                parts = M.sniff(b'<html><img src="data:x/y;base64,' + wrapped + after)[1]
+                assert [(n, t, e, y) for _, n, t, e, y in parts] == [(len(wrapped), kind, "base64", data)]
