@@ -8,7 +8,6 @@ from __future__ import annotations
 import ast
 import hashlib
 import textwrap
-from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -16,11 +15,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-UNIT = "file_path string, name string, type string, source_code string, start_line int, end_line int, complexity_score int, dependencies array<string>, hash string"
+from cinnabar.functions import tokens as K
+
+UNIT = "file_path string, name string, type string, source_code string, start_line int, end_line int, complexity_score int, dependencies array<string>, hash string, tokens array<string>"
 STRUCTURE = "error string, functions array<string>, classes array<string>, methods array<string>, imports array<string>, variables array<string>, decorators array<string>, control_flow array<string>, loc int, complexity int, nesting_depth int, features array<string>"
-STATEMENTS = "statements int, returns int, return_kind string, has_pass boolean, code_lines int"
+STATEMENTS = "kind string, name string, statements int, returns int, return_kind string, has_pass boolean, code_lines int, decorated boolean, methods int, data_model boolean, body_statements int"
 _TYPES = {"string": T.StringType(), "int": T.IntegerType(), "boolean": T.BooleanType(), "array<string>": T.ArrayType(T.StringType())}
-_DEFS = (ast.FunctionDef, ast.AsyncFunctionDef)
 
 
 def _shape(ddl: str) -> T.StructType:
@@ -44,19 +44,27 @@ def _complexity(node: ast.AST) -> int:
     return found
 
 
+def unit_source(lines: list[str], first: int, last: int) -> str:
+    """Lines first to last, from 1, without the indent that all non-blank ones share; shorter lines stay."""
+    own = lines[first - 1 : last]
+    indent = min((len(x) - len(x.lstrip()) for x in own if x.strip()), default=0)
+    return "\n".join(x[indent:] if len(x) > indent else x for x in own)
+
+
+def _units(tree: ast.Module, source: str) -> Iterator[tuple]:
+    lines = source.splitlines()
+    for node in ast.walk(tree):
+        if isinstance(node, (ast.FunctionDef, ast.ClassDef)):
+            own = unit_source(lines, node.lineno, node.end_lineno)
+            said, complexity, needs = K.structure(node)
+            kind = "class" if isinstance(node, ast.ClassDef) else "function"
+            yield node.name, kind, own, node.lineno, node.end_lineno, complexity, needs, hashlib.md5(f"{node.name}:{own}".encode()).hexdigest(), said
+
+
 def units(source: str | None) -> Iterator[tuple]:
-    """(name, type, source, first line, last line, complexity, dependencies, hash) of each def and class, the outer first."""
+    """(name, type, source, first line, last line, complexity, dependencies, hash, tokens) of each def and class, the outer first."""
     tree = _parse(source) if source is not None else ""
-    if isinstance(tree, str):
-        return
-    lines = source.split("\n")
-    for node in ast.walk(tree):
-        if not isinstance(node, (ast.FunctionDef, ast.ClassDef)):
-            continue
-        own = textwrap.dedent("\n".join(lines[node.lineno - 1 : node.end_lineno]))
-        needs = {b.id for b in node.bases if isinstance(b, ast.Name)} if isinstance(node, ast.ClassDef) else set()
-        needs |= {x.func.value.id for x in ast.walk(node) if isinstance(x, ast.Call) and isinstance(x.func, ast.Attribute) and isinstance(x.func.value, ast.Name)}
-        yield node.name, "class" if isinstance(node, ast.ClassDef) else "function", own, node.lineno, node.end_lineno, _complexity(node), sorted(needs), hashlib.md5(f"{node.name}:{own}".encode()).hexdigest()
+    return iter(()) if isinstance(tree, str) else _units(tree, source)
 
 
 def extract_units(files: DataFrame, path_col: str = "file_path", code_col: str = "code_content") -> DataFrame:
@@ -70,55 +78,80 @@ def extract_units(files: DataFrame, path_col: str = "file_path", code_col: str =
     return files.select(F.col(path_col).alias("p"), F.col(code_col).alias("c")).mapInPandas(run, UNIT)
 
 
+def signature(tokens: Column) -> Column:
+    """Structure tokens as one text."""
+    return F.array_join(tokens, "|")
+
+
+def structure_hash(tokens: Column) -> Column:
+    """The first 16 digits of a signature's SHA-256."""
+    return F.substring(F.sha2(signature(tokens), 256), 1, 16)
+
+
+def structure_report(units: DataFrame, path_col: str = "file_path") -> DataFrame:
+    """Of each file: units by type, complexity, lines, the largest unit, and all dependencies in order."""
+    lines = F.col("end_line") - F.col("start_line") + 1
+    return units.groupBy(path_col).agg(
+        F.count(F.lit(1)).alias("total_units"), F.count_if(F.col("type") == "function").alias("functions"), F.count_if(F.col("type") == "class").alias("classes"),
+        F.sum("complexity_score").alias("total_complexity"), F.round(F.avg("complexity_score"), 4).alias("average_complexity"),
+        F.sum(lines).cast("long").alias("total_lines"), F.max(lines).alias("largest_unit"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("dependencies")))).alias("dependencies"),
+    )
+
+
+def _decorators(node: ast.AST) -> list[str]:
+    return [d.id if isinstance(d, ast.Name) else d.attr for d in node.decorator_list if isinstance(d, (ast.Name, ast.Attribute))]
+
+
+def features(source: str, tree: ast.Module) -> list[str]:
+    """Names and structure tokens of all units, then arities, returns and imports in order of depth."""
+    out = []
+    for name, kind, _, _, _, _, _, _, said in _units(tree, source):
+        out.append(f"{'class' if kind == 'class' else 'func'}:{name}")
+        out += "|".join(said).split("|") if said else []
+    for x in ast.walk(tree):
+        if isinstance(x, ast.FunctionDef):
+            out.append(f"args:{len(x.args.args)}")
+        elif isinstance(x, ast.Return):
+            out.append("return")
+        elif isinstance(x, ast.Import):
+            out += [f"import:{a.name}" for a in x.names]
+    return out
+
+
 def structure(source: str | None) -> dict:
-    """Names, imports, control flow, metrics and features of a source."""
+    """Names, imports, control flow, metrics and features of a source; functions holds every plain def, methods every def within a class."""
     out = {k: [] for k in ("functions", "classes", "methods", "imports", "variables", "decorators", "control_flow", "features")} | {"error": None, "loc": None, "complexity": None, "nesting_depth": None}
     tree = _parse(source or "")
     if isinstance(tree, str):
         return out | {"error": tree}
     kinds = {ast.For: "for", ast.While: "while", ast.If: "if", ast.Try: "try"}
-
-    def walk(node: ast.AST, in_class: bool, in_def: bool, depth: int) -> int:
-        deepest = depth
-        for x in ast.iter_child_nodes(node):
-            inner, cls, sync = depth, in_class, in_def
-            if isinstance(x, _DEFS):
-                out["methods" if in_class else "functions"].append(x.name)
-                inner, sync = depth + 1, in_def or isinstance(x, ast.FunctionDef)
-                if isinstance(x, ast.FunctionDef):
-                    out["decorators"] += [d.id if isinstance(d, ast.Name) else d.attr for d in x.decorator_list if isinstance(d, (ast.Name, ast.Attribute))]
-            elif isinstance(x, ast.ClassDef):
-                out["classes"].append(x.name)
-                inner, cls = depth + 1, True
-                out["decorators"] += [d.id if isinstance(d, ast.Name) else d.attr for d in x.decorator_list if isinstance(d, (ast.Name, ast.Attribute))]
-            elif isinstance(x, ast.Import):
-                out["imports"] += [a.name.split(".")[0] for a in x.names]
-            elif isinstance(x, ast.ImportFrom) and x.module:
-                out["imports"].append(x.module.split(".")[0])
-            elif isinstance(x, ast.Assign) and not in_def:
-                out["variables"] += [t.id for t in x.targets if isinstance(t, ast.Name)]
-            if type(x) in kinds:
-                out["control_flow"].append(kinds[type(x)])
-            deepest = max(deepest, walk(x, cls, sync, inner))
-        return deepest
-
-    out["nesting_depth"] = walk(tree, False, False, 0)
-    out["loc"], out["complexity"] = sum(bool(x.strip()) for x in (source or "").splitlines()), _complexity(tree)
-    features, queue = [], deque([tree])
-    while queue:
-        x = queue.popleft()
-        queue.extend(ast.iter_child_nodes(x))
-        if isinstance(x, ast.FunctionDef):
-            features += [f"func:{x.name}", f"args:{len(x.args.args)}"]
-        elif isinstance(x, ast.ClassDef):
-            features.append(f"class:{x.name}")
-        elif isinstance(x, ast.Return):
-            features.append("return")
+    deepest = 0
+    # (node, within a class, within a plain def, depth of plain defs and classes)
+    open_nodes = [(tree, False, False, 0)]
+    while open_nodes:
+        x, in_class, in_def, depth = open_nodes.pop()
+        deepest = max(deepest, depth)
+        if isinstance(x, (ast.FunctionDef, ast.AsyncFunctionDef)) and in_class:
+            out["methods"].append(x.name)
+        if isinstance(x, (ast.FunctionDef, ast.ClassDef)):
+            out["decorators"] += _decorators(x)
+            depth += 1
+            deepest = max(deepest, depth)
+            in_class, in_def = in_class or isinstance(x, ast.ClassDef), in_def or isinstance(x, ast.FunctionDef)
         elif isinstance(x, ast.Import):
-            features += [f"import:{a.name}" for a in x.names]
-        elif isinstance(x, ast.ImportFrom):
-            features += [f"import:{x.module or ''}.{a.name}" for a in x.names]
-    return out | {"features": features}
+            out["imports"] += [a.name.split(".")[0] for a in x.names]
+        elif isinstance(x, ast.ImportFrom) and x.module:
+            out["imports"].append(x.module.split(".")[0])
+        elif isinstance(x, ast.Assign) and not in_def:
+            out["variables"] += [t.id for t in x.targets if isinstance(t, ast.Name)]
+        if type(x) in kinds:
+            out["control_flow"].append(kinds[type(x)])
+        open_nodes += [(y, in_class, in_def, depth) for y in reversed(list(ast.iter_child_nodes(x)))]
+    for x in ast.walk(tree):
+        if isinstance(x, (ast.FunctionDef, ast.ClassDef)):
+            out["classes" if isinstance(x, ast.ClassDef) else "functions"].append(x.name)
+    found = {"nesting_depth": deepest, "loc": sum(bool(x.strip()) for x in (source or "").split("\n")), "complexity": _complexity(tree)}
+    return out | found | {"features": features(source or "", tree)}
 
 
 @F.pandas_udf(_shape(STRUCTURE))
@@ -144,43 +177,75 @@ def normalize(code: pd.Series) -> pd.Series:
 
 
 _COUNTED = (ast.Assign, ast.AugAssign, ast.If, ast.For, ast.While, ast.Try, ast.With, ast.Raise, ast.Assert)
-
-
-def statements(source: str | None) -> dict | None:
-    """Counts of the first definition of a source; null if there is none or it doesn't parse."""
-    tree = _parse(source or "")
-    if isinstance(tree, str) or not tree.body or not isinstance(tree.body[0], (*_DEFS, ast.ClassDef)):
-        return None
+_RETURNED = {ast.Name: "name", ast.Attribute: "attribute", ast.Constant: "constant"}
+_MODELS = {"NamedTuple", "TypedDict", "BaseModel"}
+
+
+def _is_model(node: ast.ClassDef) -> bool:
+    """Whether a class only holds data: by its decorator, its base, or as it has little but __init__."""
+    if "dataclass" in _decorators(node) or any((b.id if isinstance(b, ast.Name) else getattr(b, "attr", None)) in _MODELS for b in node.bases):
+        return True
+    own = [x.name for x in node.body if isinstance(x, ast.FunctionDef)]
+    special = [n for n in own if n != "__init__" and n.startswith("__") and n.endswith("__")]
+    return len(own) <= 2 and own.count("__init__") == 1 and len(special) <= 1
+
+
+def statements(source: str | None) -> dict:
+    """Counts of the first statement of a source, if that is a plain def or a class; else only its kind: empty, other or error.
+
+    statements leaves out texts that stand alone; body_statements (of the first def anywhere, as the central filter counts)
+    leaves out expressions too, and is the number of lines with code where the dedented source doesn't parse or has no def.
+    """
+    text = source or ""
+    out: dict = {}
+    inner = _parse(textwrap.dedent(text))
+    first = None if isinstance(inner, str) else next((x for x in ast.walk(inner) if isinstance(x, ast.FunctionDef)), None)
+    if first is None:
+        out["body_statements"] = sum(bool(x.strip()) and not x.strip().startswith("#") for x in text.splitlines())
+    else:
+        out["body_statements"] = sum(isinstance(x, _COUNTED) for x in ast.walk(first))
+    tree = _parse(text)
+    if isinstance(tree, str):
+        return out | {"kind": "error"}
+    if not tree.body:
+        return out | {"kind": "empty"}
     node = tree.body[0]
-    doc = node.body[0] if isinstance(node.body[0], ast.Expr) and isinstance(node.body[0].value, ast.Constant) and isinstance(node.body[0].value.value, str) else None
-    inner = [x for x in ast.walk(node) if x is not node]
-    returns = [x for x in inner if isinstance(x, ast.Return)]
-    kind = {ast.Name: "name", ast.Attribute: "attribute", ast.Constant: "constant"}.get(type(returns[0].value), "other") if returns else None
-    total, docs = node.end_lineno - node.lineno + 1, doc.end_lineno - doc.lineno + 1 if doc else 0
-    counted = sum(isinstance(x, _COUNTED) or (isinstance(x, ast.Expr) and x is not doc) for x in inner)
-    lines = total - (min(docs, total - 2) if isinstance(node, _DEFS) and total > 2 else docs)
-    return {"statements": counted, "returns": len(returns), "return_kind": kind, "has_pass": any(isinstance(x, ast.Pass) for x in inner), "code_lines": lines}
+    if not isinstance(node, (ast.FunctionDef, ast.ClassDef)):
+        return out | {"kind": "other"}
+    nodes = list(K.preorder(node))
+    alone = [x for x in nodes if isinstance(x, ast.Expr)]
+    texts = [x.value.value for x in alone if isinstance(x.value, ast.Constant) and isinstance(x.value.value, str)]
+    returns = [x for x in nodes if isinstance(x, ast.Return)]
+    total, docs = node.end_lineno - node.lineno + 1, sum(len(t.splitlines()) for t in texts)
+    is_class = isinstance(node, ast.ClassDef)
+    return out | {
+        "kind": "class" if is_class else "function", "name": node.name, "statements": sum(isinstance(x, _COUNTED) for x in nodes) + len(alone) - len(texts),
+        "returns": len(returns), "return_kind": (_RETURNED.get(type(returns[0].value), "other") if returns[0].value else "none") if returns else None,
+        "has_pass": any(isinstance(x, ast.Pass) for x in nodes), "code_lines": total - (docs if is_class or not docs else min(docs, total - 2)),
+        "decorated": bool(node.decorator_list), "methods": sum(isinstance(x, ast.FunctionDef) for x in node.body), "data_model": is_class and _is_model(node),
+    }
 
 
 @F.pandas_udf(_shape(STATEMENTS))
 def count_statements(code: pd.Series) -> pd.DataFrame:
-    found = [statements(c) or {} for c in code]
+    found = [statements(c) for c in code]
     return pd.DataFrame({k: pd.Series([x.get(k) for x in found], dtype=object) for k in (x.split()[0] for x in STATEMENTS.split(", "))})
 
 
-CONVERTERS = ["to_dict", "to_json", "to_string", "to_list", "from_dict", "from_json", "as_dict", "__str__", "__repr__"]
+@F.pandas_udf(T.StringType())
+def dedent(code: pd.Series) -> pd.Series:
+    """Without blank lines at the ends and the indent that the others share; blank lines within are emptied."""
 
+    def one(c: str | None) -> str | None:
+        if c is None:
+            return None
+        lines = c.split("\n")
+        filled = [k for k, x in enumerate(lines) if x.strip()]
+        own = lines[filled[0] : filled[-1] + 1] if filled else []
+        indent = min((len(x) - len(x.lstrip()) for x in own if x.strip()), default=0)
+        return "\n".join(x[indent:] if x.strip() else "" for x in own)
 
-def exclude_reason(name: Column, kind: Column, counts: Column) -> Column:
-    """Why a unit is trivial, or null; counts: of count_statements."""
-    single = (counts["returns"] == 1) & (counts["statements"] <= 1) & counts["return_kind"].isin("name", "attribute", "constant")
-    special = name.rlike("^__.*__$")
-    return (
-        F.when((kind == "function") & special & (counts["has_pass"] | ((counts["statements"] <= 2) & single)), "simple_special_method")
-        .when((kind == "function") & name.rlike("^(get|set|is|has)_") & single, "simple_property")
-        .when((kind == "function") & single, "single_return")
-        .when((kind == "class") & counts["has_pass"], "trivial_class")
-    )
+    return code.map(one)
 
 
 @F.pandas_udf(T.DoubleType())
@@ -189,21 +254,3 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     from difflib import SequenceMatcher
 
     return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)])
-
-
-def leader_clusters(functions: DataFrame, family: str, threshold: float = 0.7, least: int = 3) -> DataFrame:
-    """(family, name, code, leader) by greedy leaders: in order of name, each takes the later ones that are alike enough."""
-    from difflib import SequenceMatcher
-
-    def lead(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["name", "code"], kind="stable").reset_index(drop=True)
-        leader = [None] * len(rows)
-        for i in range(len(rows)):
-            if leader[i] is None:
-                group = [j for j in range(i + 1, len(rows)) if leader[j] is None and SequenceMatcher(None, rows["code"][i], rows["code"][j]).ratio() >= threshold]
-                if len(group) + 1 >= least:
-                    for j in [i, *group]:
-                        leader[j] = rows["name"][i]
-        return rows.assign(leader=leader)
-
-    return functions.select(F.col(family).alias("family"), "name", F.coalesce("code", F.lit("")).alias("code")).groupBy("family").applyInPandas(lead, "family string, name string, code string, leader string")

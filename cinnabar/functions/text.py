@@ -78,7 +78,7 @@ def code_tokens(code: Column) -> Column:
     return F.array_union(names, quoted)
 
 
-VERBS = ["get", "set", "create", "update", "delete", "validate", "calculate", "process", "handle", "convert", "transform", "filter"]
+VERBS = sorted("validate check manage handle process compute calculate set get delete update create".split())
 
 
 def intent_likeness(a: Column, b: Column, verbs: list[str] = VERBS) -> Column:
@@ -143,40 +143,120 @@ def shape_family(code: Column) -> Column:
     )
 
 
-def structure_flags(code: Column) -> Column:
-    """Flags of a function's text, and the category that they suggest with its confidence."""
-    lines = F.size(F.split(code, "\n", -1))
-    returns = code.rlike(r"\breturn\b\s+\S")
+def _says(code: Column, *words: str) -> Column:
+    return F.greatest(*[code.contains(w) for w in words], F.lit(False))
+
+
+def structure_flags(code: Column, named: bool = False) -> Column:
+    """Flags of a function's text, and the category that they suggest with its confidence and reasons.
+
+    named: whether the function's name is known; names suggest nothing themselves, but lower the confidence to start from.
+    """
+    low = F.lower(code)
+    lines = F.size(F.split(F.regexp_replace(code, r"(?U)^\s+|\s+$", ""), "\n", -1))
     state = code.contains("=") & ~code.contains("==")
-    flow = code.rlike(r"\b(if|for|while)\b")
-    is_async, handles = code.rlike(r"\b(async|await)\b"), code.rlike(r"\b(try|except|raise)\b")
-    category = F.when(is_async, "async_handler").when(handles, "error_handler").when(flow & (lines > 10), "business_logic").otherwise("unknown")
-    confidence = F.when(is_async, 0.7).when(handles, 0.6).when(flow & (lines > 10), 0.6).otherwise(0.3)
-    return F.struct(lines.alias("line_count"), returns.alias("has_return_value"), state.alias("has_state_change"), flow.alias("has_control_flow"), is_async.alias("has_async"), handles.alias("has_error_handling"), category.alias("category"), confidence.alias("confidence"))
+    flow = _says(low, "for ", "while ", "if ", "elif ")
+    is_async, handles = _says(low, "async def", "await "), _says(low, "try:", "except", "raise")
+    logic = flow & (lines > 10)
+    category = F.when(is_async, "async_handler").when(handles, "error_handler").when(logic, "business_logic").otherwise("unknown")
+    confidence = F.when(is_async, 0.7).when(handles | logic, 0.6).otherwise(0.0 if named else 0.5)
+    reasons = F.array_compact(F.array(F.when(is_async, "async operations detected"), F.when(handles, "error handling present"), F.when(logic, "complex business logic")))
+    reasoning = F.when(F.size(reasons) > 0, F.array_join(reasons, "; ")).otherwise("Basic structural analysis")
+    return F.struct(
+        lines.alias("line_count"), code.contains("return ").alias("has_return_value"), state.alias("has_state_change"), flow.alias("has_control_flow"),
+        is_async.alias("has_async"), handles.alias("has_error_handling"), category.alias("category"), confidence.alias("confidence"), reasoning.alias("reasoning"),
+    )
 
 
-def is_test_name(name: Column) -> Column:
-    helpers = ["setUp", "tearDown", "setUpClass", "tearDownClass", "setUpModule", "tearDownModule", "setup", "teardown", "setup_method", "teardown_method", "setup_class", "teardown_class", "setup_module", "teardown_module", "assertEqual", "assertTrue", "assertFalse", "assertRaises", "assertIn", "assertIsNone"]
-    return name.rlike(r"^test_|^test\p{Lu}") | name.isin(helpers)
+def name_taxonomy(name: Column) -> Column:
+    """What a name alone says of a function's category: nothing, for any name."""
+    return F.struct(F.lit("unknown").alias("category"), F.lit(0.3).alias("confidence"), F.array(F.lit("no clear naming pattern")).alias("indicators"))
 
 
-def is_test_path(path: Column) -> Column:
-    parts = F.split(F.lower(path), "/")
-    folders = F.array(*[F.lit(x) for x in ("test", "tests", "testing", "__test__", "__tests__")])
-    last = F.element_at(parts, -1)
-    return F.arrays_overlap(F.slice(parts, F.lit(1), F.size(parts) - 1), folders) | (last.contains("test") & last.endswith(".py"))
+#: Families of names in order of precedence; each is a pattern from the start of a name.
+FAMILIES = [
+    *[(family, f"(?:{'|'.join(words.split())})_") for family, words in (
+        ("data_accessors", "read load retrieve fetch get"), ("data_mutators", "store save write modify update set"), ("state_checkers", "must should can has is"),
+        ("validators", "assert ensure verify check validate"), ("processors", "perform run execute process handle"), ("transformers", "serialize format parse transform convert"),
+        ("factories", "setup initialize construct make build create"), ("calculators", "analyze derive compute calculate"),
+    )],
+    ("utilities", "_(?:helper|util|utility)$"), ("event_handlers", "on_|handle_.*_event|.*_(?:listener|handler)$"), ("test_functions", "test_|assert_|verify_.*_test"), ("special_methods", "__.*__$"),
+]
+
+
+def pattern_family(name: Column, code: Column) -> Column:
+    """The first family whose pattern fits the start of a name whatever its case, else the family of the code's shape."""
+    out = shape_family(code)
+    for family, pattern in reversed(FAMILIES):
+        out = F.when(name.rlike(f"(?i)^(?:{pattern})"), F.lit(family)).otherwise(out)
+    return out
+
+
+GROUP_PREFIXES = [f"{x}_" for x in sorted("check validate should can has is set get".split())]
+
+
+def group_likeness(name_a: Column, name_b: Column, code_a: Column, code_b: Column) -> Column:
+    """Likeness within a group: 1 for one skeleton, 0.85 for the same known prefix, else 0.7 of the ratio of lengths."""
+    same = F.greatest(*[F.lower(name_a).startswith(p) & F.lower(name_b).startswith(p) for p in GROUP_PREFIXES])
+    longer = F.greatest(F.length(code_a), F.length(code_b))
+    ratio = F.when(longer > 0, F.least(F.length(code_a), F.length(code_b)) / longer).otherwise(1.0)
+    return F.when(skeleton(code_a) == skeleton(code_b), 1.0).when(same, 0.85).otherwise(F.least(ratio * 0.7, F.lit(0.95)))
+
+
+def common_start(a: Column, b: Column) -> Column:
+    """The longest common start of two texts (of a set of texts: of its least and its greatest)."""
+    most = F.least(F.length(a), F.length(b))
+    fits = F.filter(F.sequence(F.lit(0), most), lambda n: F.substring(a, F.lit(1), n) == F.substring(b, F.lit(1), n))
+    return F.substring(a, F.lit(1), F.array_max(fits))
+
 
+def cluster_label(least: Column, most: Column, least_end: Column, most_end: Column, family: Column) -> Column:
+    """A label by the names' common start or end, of more than 3 characters, else by the family.
 
-def glob_regex(pattern: str) -> str:
-    """A shell pattern as a regular expression over a whole path."""
-    out = "".join({"*": ".*", "?": "."}.get(c, "\\" + c if not c.isalnum() and c not in "/_" else c) for c in pattern.rstrip("/"))
-    return f"(?:^|.*/){out}(?:/.*)?$"
+    least, most: the least and greatest name; least_end, most_end: of the reversed names.
+    """
+    start, end = common_start(least, most), F.reverse(common_start(least_end, most_end))
+    return F.when(F.length(start) > 3, F.concat(start, F.lit("* functions"))).when(F.length(end) > 3, F.concat(F.lit("*"), end, F.lit(" functions"))).otherwise(title(family))
 
 
-IGNORED = ["__pycache__", "*.pyc", ".git", ".venv", "venv", "env", "node_modules", "build", "dist", "*.egg-info", ".tox", ".pytest_cache", ".mypy_cache", ".ruff_cache", "*.min.js", "migrations", "*.log", ".idea", ".vscode", "htmlcov", "*.so", "*.dll"]
+def cut(code: Column, most: int = 500) -> Column:
+    return F.substring(code, 1, most)
 
 
-def is_ignored(path: Column, patterns: list[str] = IGNORED, tests: bool = True) -> Column:
-    """Whether a path is left out: by any pattern, or as a test file."""
-    hit = path.rlike("|".join(glob_regex(p) for p in patterns)) if patterns else F.lit(False)
-    return hit | is_test_path(path) if tests else hit
+def iso(time: Column) -> Column:
+    """A timestamp in ISO form, with microseconds where there are any."""
+    whole = F.date_format(time, "yyyy-MM-dd'T'HH:mm:ss")
+    micro = F.date_format(time, "SSSSSS")
+    return F.when(micro != "000000", F.concat(whole, F.lit("."), micro)).otherwise(whole)
+
+
+def from_iso(text: Column) -> Column:
+    return F.try_to_timestamp(text)
+
+
+def within(path: Column, root: str) -> Column:
+    """Whether a normal path is a folder or below it."""
+    root = root.rstrip("/")
+    return (path == (root or "/")) | path.startswith(root + "/")
+
+
+def relative(path: Column, root: str) -> Column:
+    """A path below a folder from there on; others, and the folder itself as ".", whole."""
+    root = root.rstrip("/")
+    return F.when(path == root, ".").when(within(path, root), F.substring(path, len(root) + 2, 1 << 30)).otherwise(path)
+
+
+LIFECYCLE = [f"{a}{b}" for a in ("setup", "teardown") for b in ("", "_module", "_class", "_method", "_function")]
+LIFECYCLE += [f"{a}{b}" for a in ("setUp", "tearDown") for b in ("", "Class", "Module")]
+LIFECYCLE += [f"assert_{x}" for x in ("not_in", "in", "raises", "false", "true", "equal")]
+
+
+def is_test_name(name: Column) -> Column:
+    return name.rlike(r"^test_|^test\p{Lu}") | name.isin(LIFECYCLE)
+
+
+def is_test_path(path: Column) -> Column:
+    parts = F.split(F.lower(path), "/")
+    folders = F.array(*[F.lit(x) for x in ("test", "tests", "testing", "__test__", "__tests__")])
+    last = F.element_at(parts, -1)
+    return F.arrays_overlap(parts, folders) | last.startswith("test_") | last.endswith("_test.py") | (last.contains("test") & last.endswith(".py"))

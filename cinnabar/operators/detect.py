@@ -1,21 +1,37 @@
-"""Duplicate detectors over records (id, code_hash, code_content, function_name, file_path)."""
+"""Duplicate detectors over records (id, code_hash, code_content, function_name, file_path).
+
+Detectors by similarity give pairs of representatives: records that a detector can't tell apart are one class, the smallest
+id stands for it, and classes() tells who is in it.  So a group of copies costs one row for each of them, and no link
+between different texts is lost.  Null and empty content is nobody's duplicate.
+"""
 
 from __future__ import annotations
 
+import hashlib
+import math
 from collections.abc import Callable
+from itertools import combinations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cinnabar.functions import text as X
+from cinnabar.sources.scratch import materialize
 
 BITS = 64
 BLOCKS = 24
+#: Words of a batch whose bits are added up at a time.
+WORDS = 1 << 18
 
 
 def exact_duplicates(records: DataFrame) -> DataFrame:
     """(code_hash, n, first_id): every content that stands more than once."""
-    return records.groupBy("code_hash").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id")).where("n > 1")
+    known = records.where(F.col("code_hash").isNotNull())
+    return known.groupBy("code_hash").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id")).where("n > 1")
 
 
 def exact_pairs(records: DataFrame) -> DataFrame:
@@ -24,60 +40,175 @@ def exact_pairs(records: DataFrame) -> DataFrame:
     return records.join(groups, "code_hash").where("id > first_id").select(F.col("first_id").alias("id_a"), F.col("id").alias("id_b"), F.lit(1.0).alias("similarity_score"))
 
 
+def classes(rows: DataFrame, *same: str) -> DataFrame:
+    """(id, class_id, copies) of rows that agree in these columns."""
+    each = rows.groupBy(*same).agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("copies"))
+    on = [rows[c].eqNullSafe(each[c]) for c in same]
+    return rows.join(each, on).select("id", "class_id", "copies")
+
+
+def layered_sides(records: DataFrame) -> DataFrame:
+    """(id, key, chars) of records with content: the blocking key, and the distinct characters in order as one text."""
+    side = records.where(F.length("code_content") > 0)
+    key = X.feature_key(F.col("code_content"), F.col("function_name"))
+    chars = F.array_join(F.array_sort(X.characters(X.squeeze(F.col("code_content"), True))), "")
+    return side.select("id", key.alias("key"), chars.alias("chars"))
+
+
 def layered_pairs(records: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """Pairs of one blocking key whose contents' characters are alike enough."""
-    side = records.where((F.length("code_content") > 0)).withColumn("key", X.feature_key(F.col("code_content"), F.col("function_name")))
-    side = side.withColumn("norm", X.squeeze(F.col("code_content"), True)).withColumn("chars", X.characters(F.col("norm"))).select("id", "key", F.xxhash64("norm").alias("norm"), "chars")
-    a, b = side.alias("a"), side.alias("b")
-    score = X.character_likeness(F.col("a.norm"), F.col("b.norm"), F.col("a.chars"), F.col("b.chars"))
-    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")))
+    """Pairs of classes of one blocking key whose contents' characters are alike enough.
+
+    Contents of a key with the same characters have a likeness of 1 and are one class (classes(layered_sides(r), "key",
+    "chars")); texts of white space alone have no characters and are alike to none but each other.
+    """
+    node = layered_sides(records).where("chars <> ''").groupBy("key", "chars").agg(F.min("id").alias("id")).withColumn("c", X.characters(F.col("chars")))
+    a, b = node.alias("a"), node.alias("b")
+    size = lambda s: F.size(F.col(f"{s}.c"))
+    # sets whose sizes are too far apart can't be alike enough: told before their characters are compared
+    near = (size("a") >= threshold * size("b")) & (size("b") >= threshold * size("a"))
+    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")) & near)
+    score = X.token_likeness(F.col("a.c"), F.col("b.c"))
     return pairs.select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"), F.round(score, 6).alias("similarity_score")).where(F.col("similarity_score") >= threshold)
 
 
+def simhash_int(features: list[str], weights: list[int] = (), size: int = BITS) -> int:
+    """The SimHash of some features, of any size that is above 0; a weight that is missing is 1."""
+    if size <= 0:
+        raise ValueError("the size of a hash is above 0")
+    votes = [0] * size
+    for k, f in enumerate(features):
+        h, w = int(hashlib.md5(f.encode()).hexdigest(), 16), weights[k] if k < len(weights) else 1
+        for bit in range(size):
+            votes[bit] += w if h >> bit & 1 else -w
+    return sum((v > 0) << k for k, v in enumerate(votes))
+
+
+def _simhashes(features: pa.Array, weights: pa.Array | None) -> pa.Array:
+    """A signed 64-bit SimHash of each list; 0 for none.  Each distinct feature of a batch is hashed once."""
+    if isinstance(features, pa.ChunkedArray):
+        features = features.combine_chunks()
+    size = np.nan_to_num(pc.list_value_length(features).to_numpy(zero_copy_only=False).astype(float)).astype(np.int64)
+    flat = features.flatten().dictionary_encode()
+    words = [hashlib.md5(w.encode()).digest()[:7:-1] for w in flat.dictionary.to_pylist()]
+    bits = np.unpackbits(np.frombuffer(b"".join(words), np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.int32) * 2 - 1
+    at, w = flat.indices.to_numpy(), None if weights is None else weights.flatten().to_numpy().astype(np.int32)
+    ends = np.cumsum(size)
+    votes = np.zeros((len(size), BITS), np.int64)
+    begin = 0
+    while begin < len(size):  # some rows at a time; a longer one is by itself
+        first = ends[begin] - size[begin]
+        end = max(begin + 1, int(np.searchsorted(ends, first + WORDS, side="right")))
+        part = bits[at[first : ends[end - 1]]]
+        part = part if w is None else part * w[first : ends[end - 1], None]
+        has = np.flatnonzero(size[begin:end])
+        if len(has):
+            votes[begin + has] = np.add.reduceat(part, (ends - size)[begin + has] - first, axis=0)
+        begin = end
+    return pa.array(np.packbits(votes > 0, axis=1, bitorder="little").view(np.int64)[:, 0])
+
+
+@F.arrow_udf(T.LongType())
+def simhash_of(features: pa.Array) -> pa.Array:
+    return _simhashes(features, None)
+
+
+@F.arrow_udf(T.LongType())
+def weighted_simhash(features: pa.Array, weights: pa.Array) -> pa.Array:
+    return _simhashes(features, weights)
+
+
 def simhash(features: DataFrame) -> DataFrame:
     """(id, simhash) of rows (id, feature, weight): a bit is set where the weighted votes for it are positive."""
-    bits = features.withColumn("h", X.hash_bits(F.col("feature")))
-    vote = lambda k: F.sum(F.when(F.getbit("h", F.lit(k)) == 1, F.col("weight")).otherwise(-F.col("weight"))).alias(f"v{k}")
-    sums = bits.groupBy("id").agg(*[vote(k) for k in range(BITS)])
-    value = F.lit(0).cast("long")
-    for k in range(BITS):
-        value = value.bitwiseOR(F.when(F.col(f"v{k}") > 0, F.shiftleft(F.lit(1).cast("long"), k)).otherwise(F.lit(0).cast("long")))
-    return sums.select("id", value.alias("simhash"))
+    each = features.where("feature is not null").groupBy("id").agg(F.collect_list(F.struct("feature", F.coalesce("weight", F.lit(1)).alias("weight"))).alias("f"))
+    return each.select("id", weighted_simhash(F.col("f.feature"), F.col("f.weight").cast("array<int>")).alias("simhash"))
+
+
+def words(content: Column) -> Column:
+    """The distinct lower-case words of a text."""
+    return F.array_distinct(F.filter(F.split(F.lower(F.coalesce(content, F.lit(""))), r"[ \t\r\n]+"), lambda w: w != ""))
+
+
+def word_simhashes(records: DataFrame) -> DataFrame:
+    """(id, simhash, words) of every record by its distinct words, in one pass without a shuffle; 0 where there are none."""
+    found = records.select("id", words(F.col("code_content")).alias("w"))
+    return found.select("id", simhash_of("w").alias("simhash"), F.size("w").alias("words"))
 
 
-def word_features(records: DataFrame, weight: int = 1) -> DataFrame:
-    """Each distinct lower-case word of a record as a feature."""
-    words = F.array_distinct(F.filter(F.split(F.lower("code_content"), r"[ \t\r\n]+"), lambda w: w != ""))
-    return records.select("id", F.explode(words).alias("feature"), F.lit(weight).alias("weight"))
+def _known_codes(records: DataFrame) -> DataFrame:
+    return materialize(word_simhashes(records).where("words > 0").select("id", "simhash"), "codes")
+
+
+def _bands(parts: int, agree: int) -> list[Column]:
+    """For each choice of `agree` of the parts of a code, what it has there."""
+    widths = [BITS // parts + (k < BITS % parts) for k in range(parts)]
+    starts = [sum(widths[:k]) for k in range(parts)]
+    out = []
+    for n, choice in enumerate(combinations(range(parts), agree)):
+        mask = sum(((1 << widths[k]) - 1) << starts[k] for k in choice)
+        out.append(F.struct(F.lit(n).alias("band"), F.col("simhash").bitwiseAND(F.lit(mask - (1 << BITS if mask >> (BITS - 1) else 0)).cast("long")).alias("part")))
+    return out
+
+
+def spare_parts(nodes: int, radius: int, crowd: int = 16) -> int | None:
+    """By how many parts codes within a radius must agree at least, so that chance puts no more than `crowd` nodes in a bucket.
+
+    Of radius + e parts e are the same.  None where that takes more than 60 buckets a node.
+    """
+    for e in range(1, BITS - radius):
+        if math.comb(radius + e, e) > 60:
+            return None
+        if nodes / 2.0 ** (BITS * e // (radius + e)) <= crowd:
+            return e
+    return None
 
 
 def hamming_pairs(hashes: DataFrame, radius: int) -> DataFrame:
-    """All pairs within a Hamming radius, exactly: two hashes within r agree on one of r + 1 bands at least.
+    """(id_a, id_b, distance, similarity_score) of all pairs of different codes within a Hamming radius, exactly.
 
-    Where bands are so narrow that chance makes pairs meet more than once on average, all pairs are compared, in BLOCKS parts.
+    The smallest id of a code stands for it.  Codes are cut into radius + e parts, of which two that are near agree in e at
+    least; e follows the number of codes, so that buckets stay small however many there are.  Where the radius is too
+    wide for that, all codes are compared, in blocks.
     """
-    widths = [BITS // (radius + 1) + (k < BITS % (radius + 1)) for k in range(radius + 1)]
-    at = 0
-    columns = []
-    for k, width in enumerate(widths):
-        columns.append(F.struct(F.lit(k).alias("band"), F.shiftrightunsigned(F.col("simhash"), at).bitwiseAND(F.lit((1 << width) - 1).cast("long")).alias("part")))
-        at += width
-    # equal hashes would meet in every band: they are one node, opened again at the end
-    nodes = hashes.groupBy("simhash").agg(F.min("id").alias("node"))
-    if sum(2.0**-w for w in widths) < 1:
-        one = two = nodes.select("node", "simhash", F.inline(F.array(*columns)))
-    else:
-        whole = nodes.withColumn("band", F.lit(0))
-        one = whole.withColumn("part", F.pmod(F.xxhash64("node"), F.lit(BLOCKS)))
-        two = whole.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(BLOCKS - 1).cast("long"))))
-    a, b = one.alias("a"), two.alias("b")
-    near = X.hamming(F.col("a.simhash"), F.col("b.simhash"))
-    met = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.part") == F.col("b.part")) & (F.col("a.node") < F.col("b.node")) & (near <= radius))
-    met = met.select(F.col("a.simhash").alias("one"), F.col("b.simhash").alias("two")).distinct()
-    own = hashes.select(F.col("simhash").alias("one"), F.col("simhash").alias("two")).groupBy("one", "two").count().where("count > 1").drop("count")
-    left, right = hashes.select(F.col("id").alias("i"), F.col("simhash").alias("one")), hashes.select(F.col("id").alias("j"), F.col("simhash").alias("two"))
-    pairs = met.union(own).join(left, "one").join(right, "two").where((F.col("one") != F.col("two")) | (F.col("i") < F.col("j")))
-    return pairs.select(F.least("i", "j").alias("id_a"), F.greatest("i", "j").alias("id_b"), X.hamming(F.col("one"), F.col("two")).alias("distance"), X.hash_likeness(F.col("one"), F.col("two")).alias("similarity_score"))
+    nodes = materialize(hashes.groupBy("simhash").agg(F.min("id").alias("node")), "nodes")
+    spare = spare_parts(nodes.count(), radius)
+    if spare is None:
+        return hamming_search(nodes.withColumnRenamed("node", "id"), hashes, radius).where("id_a < id_b")
+    banded = nodes.select("node", "simhash", F.inline(F.array(*_bands(radius + spare, spare))))
+    a, b = banded.alias("a"), banded.alias("b")
+    near = X.hamming(F.col("a.simhash"), F.col("b.simhash")) <= radius
+    met = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.part") == F.col("b.part")) & (F.col("a.node") < F.col("b.node")) & near)
+    return _scored(met).distinct()
+
+
+def _scored(met: DataFrame) -> DataFrame:
+    one, two = F.col("a.simhash"), F.col("b.simhash")
+    return met.select(F.col("a.node").alias("id_a"), F.col("b.node").alias("id_b"), X.hamming(one, two).alias("distance"), X.hash_likeness(one, two).alias("similarity_score"))
+
+
+def hamming_search(queries: DataFrame, hashes: DataFrame, radius: int) -> DataFrame:
+    """(id_a, id_b, distance, similarity_score): for each different code of some queries (id, simhash) all other codes within a
+    radius, exactly, by comparing them in blocks."""
+    node = lambda rows: rows.groupBy("simhash").agg(F.min("id").alias("node"))
+    asked = node(queries).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(BLOCKS - 1).cast("long"))))
+    a, b = asked.alias("a"), node(hashes).withColumn("part", F.pmod(F.xxhash64("node"), F.lit(BLOCKS))).alias("b")
+    near = X.hamming(F.col("a.simhash"), F.col("b.simhash")) <= radius
+    return _scored(a.join(b, (F.col("a.part") == F.col("b.part")) & (F.col("a.simhash") != F.col("b.simhash")) & near))
+
+
+def simhash_detector(records: DataFrame, radius: int = 12) -> DataFrame:
+    return hamming_pairs(_known_codes(records), radius)
+
+
+def similar_by_hash(records: DataFrame, source: str, threshold: float = 0.7) -> DataFrame:
+    """Records whose SimHash of words is near enough to a source's, with their similarity_score, the likest first."""
+    wanted = simhash_of(words(F.lit(source)))
+    known = word_simhashes(records).where("words > 0").select("id", X.hash_likeness(F.col("simhash"), wanted).alias("similarity_score")).where(F.col("similarity_score") >= threshold)
+    return known.orderBy(F.desc("similarity_score"), "id")
+
+
+def similarity_result(matches: DataFrame) -> DataFrame:
+    """(is_duplicate, similarity_score, matches): the mean of matches' scores, 0 if there are none."""
+    return matches.agg((F.count(F.lit(1)) > 0).alias("is_duplicate"), F.coalesce(F.avg("similarity_score"), F.lit(0.0)).alias("similarity_score"), F.count(F.lit(1)).alias("matches"))
 
 
 def find_similar(records: DataFrame, source: str) -> DataFrame:
@@ -86,16 +217,28 @@ def find_similar(records: DataFrame, source: str) -> DataFrame:
 
 
 def feature_overlap_pairs(features: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """Pairs of (id, feature) sets that share more than a part of the larger one."""
-    sets = features.select("id", "feature").distinct()
-    size = sets.groupBy("id").count()
-    a, b = sets.alias("a"), sets.alias("b")
-    common = a.join(b, (F.col("a.feature") == F.col("b.feature")) & (F.col("a.id") < F.col("b.id"))).groupBy(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b")).agg(F.count(F.lit(1)).alias("common"))
-    sized = common.join(size.select(F.col("id").alias("id_a"), F.col("count").alias("n")), "id_a").join(size.select(F.col("id").alias("id_b"), F.col("count").alias("m")), "id_b")
-    return sized.withColumn("similarity_score", F.col("common") / F.greatest("n", "m")).where(F.col("similarity_score") > threshold).select("id_a", "id_b", "similarity_score")
+    """Pairs of (id, feature) sets that share more than a part of the larger one.
+
+    Features are put in order of rarity; two sets that share so much meet in the first ones of each, so frequent features
+    never bring pairs together.  Equal sets are one class, for which the smallest id stands.  Features are compared by 64-bit hashes.
+    """
+    sets = features.where("feature is not null").select("id", F.xxhash64("feature").alias("f")).distinct()
+    often = sets.groupBy("f").agg(F.count(F.lit(1)).alias("df"))
+    each = sets.join(often, "f").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "f"))).alias("f"))
+    node = each.groupBy(F.col("f.f").alias("f")).agg(F.min("id").alias("id")).withColumn("n", F.size("f"))
+    node = materialize(node, "sets")
+    least = (F.floor(F.col("n") * threshold) + 1).cast("int")
+    side = node.select("id", "n", F.explode(F.slice("f", F.lit(1), F.col("n") - least + 1)).alias("f"))
+    a, b = side.alias("a"), side.alias("b")
+    near = (F.col("a.n") > threshold * F.col("b.n")) & (F.col("b.n") > threshold * F.col("a.n"))
+    met = a.join(b, (F.col("a.f") == F.col("b.f")) & (F.col("a.id") < F.col("b.id")) & near).select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b")).distinct()
+    end = lambda k: node.select(F.col("id").alias(f"id_{k}"), F.col("f").alias(f"f_{k}"))
+    common = F.size(F.array_intersect("f_a", "f_b"))
+    scored = met.join(end("a"), "id_a").join(end("b"), "id_b").select("id_a", "id_b", (common / F.greatest(F.size("f_a"), F.size("f_b"))).alias("similarity_score"))
+    return scored.where(F.col("similarity_score") > threshold)
 
 
-DETECTORS: dict[str, Callable[..., DataFrame]] = {"exact_match": exact_pairs, "layered": layered_pairs, "simhash": lambda r, radius=3: hamming_pairs(simhash(word_features(r)), radius)}
+DETECTORS: dict[str, Callable[..., DataFrame]] = {"exact_match": exact_pairs, "layered": layered_pairs, "simhash": simhash_detector}
 
 
 def detect(records: DataFrame, algorithm: str = "exact_match", **options) -> DataFrame:
@@ -116,13 +259,33 @@ def combine(semantic: DataFrame, structural: DataFrame) -> DataFrame:
     return semantic.withColumn("method", F.lit("semantic")).unionByName(rest.withColumn("method", F.lit("structural_only")), allowMissingColumns=True)
 
 
-def duplicate_summary(groups: DataFrame, total: int | DataFrame) -> DataFrame:
-    """Groups (n), further copies, their rate and a verdict."""
+def combined_totals(combined: DataFrame) -> DataFrame:
+    """How many pairs of combine() are of each method, in one row with their total."""
+    return combined.agg(F.count_if(F.col("method") == "semantic").alias("semantic"), F.count_if(F.col("method") == "structural_only").alias("structural_only"), F.count(F.lit(1)).alias("total"))
+
+
+def duplicate_summary(groups: DataFrame, total: int | DataFrame, semantic: DataFrame | None = None) -> DataFrame:
+    """Groups (n), further copies, their rate, how many semantic pairs (confidence) are of high and medium confidence, a verdict
+    and a recommendation."""
     count = total.agg(F.count(F.lit(1)).alias("total")) if isinstance(total, DataFrame) else groups.sparkSession.range(1).select(F.lit(total).alias("total"))
     sums = groups.agg(F.count(F.lit(1)).alias("groups"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicates"))
+    if semantic is None:
+        semantic = groups.sparkSession.createDataFrame([], "confidence double")
+    c = F.col("confidence")
+    pairs = semantic.agg(F.count(F.lit(1)).alias("pairs"), F.count_if(c > 0.8).alias("high_confidence"), F.count_if((c > 0.5) & (c <= 0.8)).alias("medium_confidence"))
     rate = F.when(F.col("total") > 0, F.col("duplicates") * 100.0 / F.col("total")).otherwise(0.0)
-    verdict = F.when(rate < 5, "excellent").when(rate < 10, "good").when(rate < 20, "fair").otherwise("needs improvement")
-    return sums.crossJoin(count).select("groups", "duplicates", "total", F.round(rate, 4).alias("rate"), verdict.alias("health"))
+    within = lambda most: (rate < most) & (F.col("pairs") < most)
+    verdict = F.when(within(5), "Excellent").when(within(10), "Good").when(within(20), "Fair").otherwise("Needs Improvement")
+    advice = F.concat_ws(
+        " ", F.when(F.col("groups") > 10, F.concat(F.col("groups").cast("string"), F.lit(" groups of structural duplicates: consolidate them."))),
+        F.when(F.col("high_confidence") > 0, F.concat(F.col("high_confidence").cast("string"), F.lit(" semantically similar pairs: review them."))),
+    )
+    one = F.lit(1).alias("__k")
+    joined = sums.select("*", one).join(count.select("*", one), "__k").join(pairs.select("*", one), "__k")
+    return joined.select(
+        "groups", "duplicates", "total", F.round(rate, 4).alias("rate"), X.percent(rate).alias("duplication_rate"), "high_confidence", "medium_confidence",
+        verdict.alias("health"), F.when(advice == "", "Duplication is within acceptable limits.").otherwise(advice).alias("recommendation"),
+    )
 
 
 def bands(pairs: DataFrame) -> DataFrame:

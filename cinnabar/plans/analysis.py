@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cinnabar.functions import text as X
 from cinnabar.functions.parsing import extract_units
-from cinnabar.operators import detect, rules
+from cinnabar.operators import detect, ignore, rules
 from cinnabar.sources.store import discover
 
 
@@ -19,6 +20,9 @@ class Config:
     options: dict = field(default_factory=dict)
     patterns: list[str] = field(default_factory=list)
     max_files: int | None = None
+    ignore: frozenset[str] = ignore.DEFAULTS
+    include_tests: bool = False
+    root: str | None = None
 
 
 def records(units: DataFrame) -> DataFrame:
@@ -31,7 +35,10 @@ def records(units: DataFrame) -> DataFrame:
 
 def check(spark: SparkSession, path: str, config: Config = Config()) -> dict[str, DataFrame]:  # noqa: B008
     """records (tagged by the first rule), pairs, summary and types of the Python files below a path."""
-    files = discover(spark, path, max_files=config.max_files).where(~X.is_ignored(F.col("file_path"), tests=False) & (F.btrim("code_content") != ""))
+    # patterns hold below the path: a folder of that name above it doesn't matter
+    below = X.relative(F.regexp_replace("file_path", "^file:/*", "/"), config.root or os.path.abspath(path))
+    ignored = ignore.is_ignored(below, config.ignore, tests=not config.include_tests)
+    files = discover(spark, path, max_files=config.max_files).where(~ignored & (F.btrim("code_content") != ""))
     found = records(extract_units(files)).withColumn("rule_applied", rules.first_match(F.col("function_name"), config.patterns))
     return {
         "records": found, "pairs": detect.detect(found, config.algorithm, **config.options),

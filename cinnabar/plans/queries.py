@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cinnabar.functions import parsing as P
 from cinnabar.functions import text as X
-from cinnabar.operators import cluster, detect, rules
+from cinnabar.operators import cluster, detect, ignore, judge, rules, similarity, trivial
 from cinnabar.sources import store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,7 +49,7 @@ def exact_duplicates(spark, d):
     return detect.exact_duplicates(_records(spark, d))
 
 
-@_query("with g as (select sha256(text) as h, min(doc_id) as a from documents group by 1) select a as id_a, doc_id as id_b, 1.0::double as similarity_score from documents join g on sha256(text) = h where doc_id > a")
+@_query("with g as (select sha256(text) as h, min(doc_id) as a from documents where text is not null group by 1) select a as id_a, doc_id as id_b, 1.0::double as similarity_score from documents join g on sha256(text) = h where doc_id > a")
 def exact_pairs(spark, d):
     return detect.detect(_records(spark, d), "exact_match")
 
@@ -68,15 +69,23 @@ def blocking_keys(spark, d):
     return r.groupBy(X.feature_key(F.col("code_content"), F.col("function_name")).alias("feature_key")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@_query(f"""with r as (select doc_id as id, {KEY} as k, translate(lower(text), ' ' || chr(9) || chr(10) || '_', '') as norm from documents where length(text) > 0),
-s as (select *, list_distinct(string_split(norm, '')) as c from r),
-p as (select a.id as id_a, b.id as id_b, case when a.norm = b.norm then 1.0::double when len(a.c) = 0 or len(b.c) = 0 then 0.0
-  else len(list_intersect(a.c, b.c))::double / (len(a.c) + len(b.c) - len(list_intersect(a.c, b.c))) end as s from s a join s b on a.k = b.k and a.id < b.id)
+LAYERED = f"""r as (select doc_id as id, {KEY} as key, translate(lower(text), ' ' || chr(9) || chr(10) || '_', '') as norm from documents where length(text) > 0),
+s as (select id, key, list_sort(list_distinct(string_split(norm, ''))) as c from r)"""
+
+
+@_query(f"""with {LAYERED}, n as (select key, c, min(id) as id from s where len(c) > 0 group by 1, 2),
+p as (select a.id as id_a, b.id as id_b, len(list_intersect(a.c, b.c))::double / (len(a.c) + len(b.c) - len(list_intersect(a.c, b.c))) as s from n a join n b on a.key = b.key and a.id < b.id)
 select id_a, id_b, round(s, 6) as similarity_score from p where round(s, 6) >= 0.7""")
 def layered_pairs(spark, d):
+    """Pairs of classes; layered_classes tells who is in them."""
     return detect.detect(_records(spark, d), "layered")
 
 
+@_query(f"with {LAYERED} select id, min(id) over w as class_id, count(*) over w as copies from s window w as (partition by key, c)")
+def layered_classes(spark, d):
+    return detect.classes(detect.layered_sides(_records(spark, d)), "key", "chars")
+
+
 SIMHASH = """w as (select distinct doc_id as id, unnest(list_filter(regexp_split_to_array(lower(text), '[ \\t\\r\\n]+'), lambda x: x <> '')) as f from documents),
 b as (select id, ('0x' || substr(md5(f), 17, 16))::ubigint as h from w),
 v as (select id, k, sum(case when (h >> k) & 1 = 1 then 1 else -1 end) as s from b, range(64) t(k) group by id, k),
@@ -84,44 +93,66 @@ u as (select id, sum(case when s > 0 then (1::hugeint << k::int) else 0 end)::hu
 s as (select id, x, (case when x >= 9223372036854775808 then x - 18446744073709551616 else x end)::bigint as simhash from u)"""
 
 
-@_query(f"with {SIMHASH} select id, simhash from s")
+@_query(f"with {SIMHASH} select doc_id as id, coalesce(simhash, 0) as simhash from documents left join s on doc_id = s.id")
 def simhash_codes(spark, d):
-    return detect.simhash(detect.word_features(_records(spark, d)))
+    return detect.word_simhashes(_records(spark, d)).select("id", "simhash")
+
 
+NODES = f"{SIMHASH}, n as (select x::ubigint as x, min(id) as id from s group by 1)"
+FOUND = f"""{NODES}, q as (select x::ubigint as x, min(id) as id from s where id % 50 = 0 group by 1),
+p as (select q.id as id_a, n.id as id_b, bit_count(xor(q.x, n.x))::int as distance from q, n where q.x <> n.x)"""
 
-@_query(f"""with {SIMHASH}, p as (select a.id as id_a, b.id as id_b, bit_count(xor(a.x::ubigint, b.x::ubigint))::int as distance from s a join s b on a.id < b.id)
+
+@_query(f"""with {NODES}, p as (select a.id as id_a, b.id as id_b, bit_count(xor(a.x, b.x))::int as distance from n a join n b on a.id < b.id)
 select id_a, id_b, distance, 1 - distance / 64.0::double as similarity_score from p where distance <= 3""")
 def simhash_pairs(spark, d):
+    """All pairs of codes within 3; simhash_classes tells whose codes they are."""
     return detect.detect(_records(spark, d), "simhash", radius=3)
 
 
-@_query(f"""with {SIMHASH}, p as (select 1 - bit_count(xor(a.x::ubigint, b.x::ubigint)) / 64.0 as s from s a join s b on a.id < b.id where bit_count(xor(a.x::ubigint, b.x::ubigint)) <= 3)
-select case when s >= 0.9 then 'high' when s >= 0.7 then 'medium' else 'low' end as band, count(*) as n from p group by 1""")
-def confidence_bands(spark, d):
-    return detect.bands(detect.detect(_records(spark, d), "simhash", radius=3))
+@_query(f"with {SIMHASH} select id, min(id) over w as class_id, count(*) over w as copies from s window w as (partition by x)")
+def simhash_classes(spark, d):
+    return detect.classes(detect.word_simhashes(_records(spark, d)).where("words > 0"), "simhash")
 
 
-@_query(f"""with {SIMHASH}, p as (select a.id as id_a, b.id as id_b, bit_count(xor(a.x::ubigint, b.x::ubigint))::int as distance from s a join s b on a.id < b.id)
-select id_a, id_b, distance, 1 - distance / 64.0::double as similarity_score from p where distance <= 12""")
-def simhash_pairs_12(spark, d):
-    """Within the reference's production radius."""
-    return detect.detect(_records(spark, d), "simhash", radius=12)
+def _search(spark, d, radius):
+    codes = detect.word_simhashes(_records(spark, d)).where("words > 0")
+    return detect.hamming_search(codes.where("id % 50 = 0"), codes, radius)
 
 
-@_query(f"""with {SIMHASH}, p as (select 1 - bit_count(xor(a.x::ubigint, b.x::ubigint)) / 64.0 as s from s a join s b on a.id < b.id where bit_count(xor(a.x::ubigint, b.x::ubigint)) <= 19)
-select case when s >= 0.9 then 'high' when s >= 0.7 then 'medium' else 'low' end as band, count(*) as n from p group by 1""")
-def confidence_bands_19(spark, d):
-    """All pairs down to a similarity of 0.7."""
-    return detect.bands(detect.detect(_records(spark, d), "simhash", radius=19))
+@_query(f"with {FOUND} select id_a, id_b, distance, 1 - distance / 64.0::double as similarity_score from p where distance <= 12")
+def simhash_search_12(spark, d):
+    """What lies within the reference's production radius of every 50th document."""
+    return _search(spark, d, 12)
 
 
-@_query("""with g as (select count(*) as n from documents group by text having count(*) > 1), t as (select count(*) as total from documents),
-s as (select count(*) as groups, coalesce(sum(n - 1), 0)::bigint as duplicates from g)
-select groups, duplicates, total, round(duplicates * 100.0::double / total, 4) as rate,
-case when duplicates * 100.0 / total < 5 then 'excellent' when duplicates * 100.0 / total < 10 then 'good' when duplicates * 100.0 / total < 20 then 'fair' else 'needs improvement' end as health from s, t""")
+@_query(f"""with {FOUND} select case when 1 - distance / 64.0 >= 0.9 then 'high' when 1 - distance / 64.0 >= 0.7 then 'medium' else 'low' end as band, count(*) as n from p where distance <= 24 group by 1""")
+def confidence_bands(spark, d):
+    """All bands, down to a similarity of 0.625, of what lies near every 50th document."""
+    return detect.bands(_search(spark, d, 24))
+
+
+@_query("""with t as (select distinct doc_id as id, unnest(list_filter(string_split(text, ' '), lambda x: x <> '')) as f from documents), s as (select id, md5(string_agg(f, chr(10) order by f)) as h, count(*) as n from t group by 1),
+n as (select h, n, min(id) as id from s group by 1, 2), r as (select t.id, f, n.n from t join n on t.id = n.id), p as (select a.id as id_a, b.id as id_b, count(*) as common, max(greatest(a.n, b.n)) as most from r a join r b on a.f = b.f and a.id < b.id group by 1, 2)
+select id_a, id_b, common::double / most as similarity_score from p where common::double / most > 0.5""")
+def feature_overlap_pairs(spark, d):
+    """Classes of documents by their words."""
+    words = F.explode(F.filter(F.split("text", " "), lambda x: x != "")).alias("feature")
+    return detect.feature_overlap_pairs(_table(spark, d, "documents").select(F.col("doc_id").alias("id"), words))
+
+
+@_query("""with g as (select count(*) as n from documents where text is not null group by text having count(*) > 1), t as (select count(*) as total from documents),
+s as (select count(*) as groups, coalesce(sum(n - 1), 0)::bigint as duplicates from g), c as (select quality * 0.6 + toxic * 0.3 as confidence from labels),
+m as (select count(*) as pairs, count(*) filter (confidence > 0.8) as high_confidence, count(*) filter (confidence > 0.5 and confidence <= 0.8) as medium_confidence from c),
+r as (select *, duplicates * 100.0::double / total as rate0 from s, t, m)
+select groups, duplicates, total, round(rate0, 4) as rate, printf('%.1f%%', rate0) as duplication_rate, high_confidence, medium_confidence,
+case when rate0 < 5 and pairs < 5 then 'Excellent' when rate0 < 10 and pairs < 10 then 'Good' when rate0 < 20 and pairs < 20 then 'Fair' else 'Needs Improvement' end as health,
+coalesce(nullif(concat_ws(' ', case when groups > 10 then groups || ' groups of structural duplicates: consolidate them.' end,
+case when high_confidence > 0 then high_confidence || ' semantically similar pairs: review them.' end), ''), 'Duplication is within acceptable limits.') as recommendation from r""")
 def duplicate_summary(spark, d):
     r = _records(spark, d)
-    return detect.duplicate_summary(detect.exact_duplicates(r), r)
+    confidence = (F.col("quality") * 0.6 + F.col("toxic") * 0.3).alias("confidence")
+    return detect.duplicate_summary(detect.exact_duplicates(r), r, _table(spark, d, "labels").select(confidence))
 
 
 @_query("select count(*) as records, count(distinct source) as files, count(lang) as named from documents")
@@ -207,22 +238,22 @@ def first_match_rules(spark, d):
     return _functions(spark, d).select("name", "file", rules.first_match(F.col("name"), PATTERNS).alias("rule_applied"))
 
 
-@_query(f"""with {CATS}, r as (select unnest({PATTERNS}) as pattern), c as (select group_id, pattern, count(*) as size, count(*) filter (regexp_matches(name, '(?i)' || pattern)) as matched from m, r group by 1, 2)
+@_query(f"""with {CATS}, r as (select unnest({PATTERNS}) as pattern), c as (select group_id, pattern, count(*) as size, count(*) filter (regexp_matches(name, pattern)) as matched from m, r group by 1, 2)
 select group_id, pattern, size, matched, matched > 0 and matched < size as valid from c""")
 def rule_validity(spark, d):
-    return rules.validity(cluster.by_category(_functions(spark, d)), PATTERNS).drop("ord")
+    return rules.validity(cluster.by_category(_functions(spark, d)), PATTERNS, "name").drop("ord")
 
 
-BISECT = "".join(f"""g{k} as (select group_id, count(*) as size, {", ".join(f"count(*) filter (regexp_matches(name, '(?i){p}')) as m{i}" for i, p in enumerate(PATTERNS))} from l{k} group by 1),
+BISECT = "".join(f"""g{k} as (select group_id, count(*) as size, {", ".join(f"count(*) filter (regexp_matches(name, '{p}')) as m{i}" for i, p in enumerate(PATTERNS))} from l{k} group by 1),
 c{k} as (select group_id, case {" ".join(f"when m{i} > 0 and m{i} < size then {i}" for i in range(len(PATTERNS)))} end as rule from g{k} where size > 100),
-l{k + 1} as (select name, l.group_id || case when rule is null then '' when ({" or ".join(f"(rule = {i} and regexp_matches(name, '(?i){p}'))" for i, p in enumerate(PATTERNS))}) then '_a' else '_b' end as group_id,
+l{k + 1} as (select name, l.group_id || case when rule is null then '' when ({" or ".join(f"(rule = {i} and regexp_matches(name, '{p}'))" for i, p in enumerate(PATTERNS))}) then '_a' else '_b' end as group_id,
   case when rule is null then confidence else confidence * 0.9 end as confidence from l{k} l left join c{k} c on l.group_id = c.group_id){"," if k < 2 else ""}
 """ for k in range(3))
 
 
 @_query(f"with {CATS}, l0 as (select name, group_id, 0.9::double as confidence from m), {BISECT} select group_id, count(*) as size, round(min(confidence), 6) as confidence from l3 group by 1")
 def rule_bisection(spark, d):
-    return rules.bisect(cluster.by_category(_functions(spark, d)).select("name", "group_id", "confidence"), PATTERNS).groupBy("group_id").agg(F.count(F.lit(1)).alias("size"), F.round(F.min("confidence"), 6).alias("confidence"))
+    return rules.bisect(cluster.by_category(_functions(spark, d)).select("name", "group_id", "confidence"), PATTERNS, text_col="name").groupBy("group_id").agg(F.count(F.lit(1)).alias("size"), F.round(F.min("confidence"), 6).alias("confidence"))
 
 
 OUT = "o as (select event_type as pattern, count(*) filter (value > 10) as success_count, count(*) filter (not value > 10) as failure_count from events group by 1)"
@@ -247,16 +278,29 @@ def upsert_latest(spark, d):
     return store.latest(_table(spark, d, "orders"), "o_custkey", "o_orderdate", "o_orderkey").select("o_custkey", "o_orderkey", "o_orderstatus")
 
 
-@_query("""with l as (select o_custkey, o_orderstatus as s from (select *, row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey desc) as r from orders) where r = 1)
-select c_custkey as file, left(c_mktsegment, 1) as state from customer left join l on o_custkey = c_custkey where s is distinct from left(c_mktsegment, 1)""")
+TRACKED = "l as (select o_custkey, case when o_custkey % 5 = 0 then 'old' else c_mktsegment end as s from (select distinct o_custkey from orders where o_orderstatus = 'P') join customer on c_custkey = o_custkey)"
+
+
+def _tracked(spark, d):
+    """Customers with an open order as tracked files: every fifth under an old state."""
+    named = _table(spark, d, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("file")).distinct()
+    state = F.when(F.col("file") % 5 == 0, "old").otherwise(F.col("c_mktsegment"))
+    return named.join(_table(spark, d, "customer"), F.col("c_custkey") == F.col("file")).select("file", state.alias("state"))
+
+
+def _current(spark, d):
+    """Customers with money as the files that are there now."""
+    return _table(spark, d, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("file"), F.col("c_mktsegment").alias("state"))
+
+
+@_query(f"with {TRACKED} select c_custkey as file, c_mktsegment as state from customer left join l on o_custkey = c_custkey where c_acctbal > 0 and s is distinct from c_mktsegment")
 def changed_files(spark, d):
-    tracked = store.latest(_table(spark, d, "orders"), "o_custkey", "o_orderdate", "o_orderkey").select(F.col("o_custkey").alias("file"), F.col("o_orderstatus").alias("state"))
-    return store.changed(tracked, _table(spark, d, "customer").select(F.col("c_custkey").alias("file"), F.substring("c_mktsegment", 1, 1).alias("state")), "file", "state")
+    return store.changed(_tracked(spark, d), _current(spark, d), "file", "state")
 
 
-@_query("select c_custkey as file from customer where not exists (select 1 from orders where o_custkey = c_custkey)")
+@_query(f"with {TRACKED} select o_custkey as file from l where not exists (select 1 from customer where c_custkey = o_custkey and c_acctbal > 0)")
 def deleted_files(spark, d):
-    return store.deleted(_table(spark, d, "customer").select(F.col("c_custkey").alias("file")), _table(spark, d, "orders").select(F.col("o_custkey").alias("file")), "file")
+    return store.deleted(_tracked(spark, d), _current(spark, d), "file")
 
 
 @_query("select o_orderkey, o_orderdate from orders order by o_orderdate desc, o_orderkey limit 100 offset 100")
@@ -272,3 +316,254 @@ def metadata_json(spark, d):
 @_query("select coalesce(lang, 'unknown') as type, count(*) as n from documents group by 1")
 def type_histogram(spark, d):
     return _records(spark, d).groupBy(F.coalesce("function_name", F.lit("unknown")).alias("type")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# Python source, of one shape for each remainder of the part's key, so that SQL can say what must be found in it.
+SHAPES = [
+    "def get_{w}(self, key):\n    return self.{w}\n",
+    "class {W}(Base):\n    pass\n",
+    "def test_{w}():\n    assert check({n})\n",
+    "import os.path\n\ndef {w}(a, b={n}):\n    if a and b:\n        return a\n    for x in range(b):\n        print(x)\n    return None\n",
+    "def __str__(self):\n    text = str(self.{w})\n    text += '{n}'\n    return text\n",
+    "def {w}(:\n    pass\n",
+    "@dataclass\nclass {W}:\n    {w}: int = {n}\n\n    def area(self):\n        return self.{w} * {n}\n",
+    "",
+]
+
+
+def _by_shape(values: list, kind: str = "") -> str:
+    """SQL: one of these literals by a part's shape."""
+    said = lambda v: "null" if v is None else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v)
+    return "case p_partkey % 8 " + " ".join(f"when {k} then {said(v)}" for k, v in enumerate(values)) + f" end{kind}"
+
+
+SOURCE_SQL = f"""c as (select p_partkey, p_partkey % 8 as shape, split_part(p_name, ' ', 1) as w, p_size as n,
+  replace(replace(replace({_by_shape(SHAPES)}, '{{w}}', split_part(p_name, ' ', 1)), '{{W}}', 'C' || split_part(p_name, ' ', 1)), '{{n}}', p_size::varchar) as code from part)"""
+
+
+def _sources(spark, d):
+    """(file_path, shape, code_content): a source of each part."""
+    w = F.split("p_name", " ")[0]
+    code = F.element_at(F.array(*[F.lit(x) for x in SHAPES]), (F.col("p_partkey") % 8 + 1).cast("int"))
+    for mark, value in (("{w}", w), ("{W}", F.concat(F.lit("C"), w)), ("{n}", F.col("p_size").cast("string"))):
+        code = F.replace(code, F.lit(mark), value)
+    return _table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("file_path"), (F.col("p_partkey") % 8).alias("shape"), code.alias("code_content"))
+
+
+UNITS = [  # (shape, name, type, first and last line, complexity, dependencies, tokens)
+    (0, "get_{w}", "function", 1, 2, 1, "", "FUNC:2|DECORATOR:0|ARG:0:self|ARG:1:key|RETURN|RETURN_VALUE|SELF_ATTR:{w}"),
+    (1, "{W}", "class", 1, 2, 1, "Base", "CLASS:1|CLASS_DECORATOR:0|BASE:Base|METHODS:0|PASS"),
+    (2, "test_{w}", "function", 1, 2, 2, "", "FUNC:0|DECORATOR:0|CALL:check|CALL_ARGS:1|ASSERT"),
+    (3, "{w}", "function", 3, 8, 5, "", "FUNC:2|DECORATOR:0|ARG:0:a|ARG:1:b|DEFAULTS:1|RETURN|RETURN_VALUE|RETURN_VAR:a|CALL:range|BUILTIN:range|CALL_ARGS:1|CALL:print|CALL_ARGS:1|RETURN|RETURN_VALUE|RETURN_CONST:NoneType|IF|CONDITION_BOOL:And|FOR|ITER_RANGE|BOOL:And|BOOL_VALUES:2"),
+    (4, "__str__", "function", 1, 4, 2, "", "FUNC:1|DECORATOR:0|ARG:0:self|CALL:str|CALL_ARGS:1|RETURN|RETURN_VALUE|RETURN_VAR:text|SELF_ATTR:{w}|ASSIGN_VAR:text|ASSIGN_VALUE:call:str|AUGASSIGN:Add|AUGASSIGN_VAR:text"),
+    (6, "{W}", "class", 2, 6, 2, "", "FUNC:1|DECORATOR:0|ARG:0:self|RETURN|RETURN_VALUE|CLASS:0|CLASS_DECORATOR:1|DECORATOR_NAME:dataclass|CLASS_ATTR_ANNOTATED|METHODS:1|SELF_ATTR:{w}|ANN_ASSIGN|ANN_TYPE:int|ANN_VAR:{w}|BINOP:Mult|BINOP_TYPES:expr_Mult_int"),
+    (6, "area", "function", 5, 6, 1, "", "FUNC:1|DECORATOR:0|ARG:0:self|RETURN|RETURN_VALUE|SELF_ATTR:{w}|BINOP:Mult|BINOP_TYPES:expr_Mult_int"),
+]
+_FILLED = lambda x: f"replace(replace({x}, '{{w}}', w), '{{W}}', 'C' || w)"
+UNITS_SQL = f"""{SOURCE_SQL}, shapes(s, name0, type, start_line, end_line, complexity_score, dep, tok) as (values {", ".join(str(u) for u in UNITS)}),
+u as (select p_partkey::varchar as file_path, {_FILLED("name0")} as name, type, start_line, end_line, complexity_score, dep, {_FILLED("tok")} as sig,
+  array_to_string(list_transform(string_split(code, chr(10))[start_line:end_line], lambda l: case when name0 = 'area' then l[5:] else l end), chr(10)) as source from c join shapes on shape = s)"""
+
+
+@_query(f"""with {UNITS_SQL} select file_path, name, type, start_line, end_line, complexity_score, dep as dependencies, sig as signature,
+sha256(sig)[1:16] as structure_hash, md5(name || ':' || source) as hash from u""")
+def code_units(spark, d):
+    """Every function and class of the sources, with structure tokens, complexity, dependencies and hashes."""
+    u = P.extract_units(_sources(spark, d))
+    return u.select("file_path", "name", "type", "start_line", "end_line", "complexity_score", F.array_join("dependencies", ",").alias("dependencies"), P.signature(F.col("tokens")).alias("signature"), P.structure_hash(F.col("tokens")).alias("structure_hash"), "hash")
+
+
+@_query(f"""with {UNITS_SQL} select file_path, count(*) as total_units, count(*) filter (type = 'function') as functions, count(*) filter (type = 'class') as classes,
+sum(complexity_score)::bigint as total_complexity, round(avg(complexity_score), 4) as average_complexity, sum(end_line - start_line + 1)::bigint as total_lines,
+max(end_line - start_line + 1) as largest_unit, coalesce(string_agg(nullif(dep, ''), ','), '') as dependencies from u group by 1""")
+def structure_reports(spark, d):
+    r = P.structure_report(P.extract_units(_sources(spark, d)))
+    return r.withColumn("dependencies", F.array_join("dependencies", ","))
+
+
+FEATS = [
+    "func:get_{w}|FUNC:2|DECORATOR:0|ARG:0:self|ARG:1:key|RETURN|RETURN_VALUE|SELF_ATTR:{w}|args:2|return", "class:{W}|" + UNITS[1][7], "func:test_{w}|" + UNITS[2][7] + "|args:0",
+    "func:{w}|" + UNITS[3][7] + "|import:os.path|args:2|return|return", "func:__str__|" + UNITS[4][7] + "|args:1|return", "",
+    "class:{W}|" + UNITS[5][7] + "|func:area|" + UNITS[6][7] + "|args:1|return", "",
+]
+_COLUMNS = {
+    "functions": ["get_{w}", "", "test_{w}", "{w}", "__str__", "", "area", ""], "classes": ["", "{W}", "", "", "", "", "{W}", ""], "methods": ["", "", "", "", "", "", "area", ""],
+    "imports": ["", "", "", "os", "", "", "", ""], "decorators": ["", "", "", "", "", "", "dataclass", ""], "control_flow": ["", "", "", "if,for", "", "", "", ""],
+}
+
+
+@_query(f"""with {SOURCE_SQL} select p_partkey::varchar as file_path, shape = 5 as failed, {", ".join(f"{_FILLED(_by_shape(v).replace('p_partkey % 8', 'shape'))} as {k}" for k, v in _COLUMNS.items())},
+{_by_shape([2, 2, 2, 7, 4, None, 5, 0]).replace('p_partkey % 8', 'shape')} as loc, {_by_shape([1, 1, 1, 4, 1, None, 1, 1]).replace('p_partkey % 8', 'shape')} as complexity,
+{_by_shape([1, 1, 1, 1, 1, None, 2, 0]).replace('p_partkey % 8', 'shape')} as nesting_depth, {_FILLED(_by_shape(FEATS).replace('p_partkey % 8', 'shape'))} as features,
+{_by_shape([sum(3 if x.startswith("class:") else 2 if x.startswith("func:") else 1 for x in f.split("|") if x) for f in FEATS]).replace('p_partkey % 8', 'shape')} as weight from c""")
+def source_analysis(spark, d):
+    """Names, imports, metrics, features and the weight of all features of every source."""
+    a = _sources(spark, d).withColumn("a", P.analyze("code_content"))
+    joined = [F.array_join(f"a.{k}", ",").alias(k) for k in _COLUMNS]
+    weight = F.aggregate(P.feature_weights(F.col("a.features")), F.lit(0), lambda x, y: x + y)
+    return a.select("file_path", F.col("a.error").isNotNull().alias("failed"), *joined, "a.loc", "a.complexity", "a.nesting_depth", F.array_join("a.features", "|").alias("features"), weight.alias("weight"))
+
+
+WHY = ["single_return", "trivial_class", "test_function", None, "simple_special_method", None, "data_model_class", "empty"]
+CENTRAL = [False, False, True, False, True, False, False, True]
+
+
+@_query(f"""with {SOURCE_SQL} select p_partkey::varchar as file_path, {_by_shape(WHY).replace('p_partkey % 8', 'shape')} as reason,
+{_by_shape([str(x).lower() for x in CENTRAL]).replace('p_partkey % 8', 'shape')}::boolean as central from c""")
+def exclusion_reasons(spark, d):
+    """Why a source is trivial, and whether the central filter leaves it out under the name of its first definition."""
+    c = _sources(spark, d).withColumn("c", P.count_statements("code_content"))
+    central = trivial.centrally_excluded(F.col("c.name"), F.col("code_content"), F.col("c.body_statements"))
+    return c.select("file_path", trivial.exclude_reason(F.col("c")).alias("reason"), central.alias("central"))
+
+
+@_query(f"""with {SOURCE_SQL}, r as (select {_by_shape([*WHY[:5], "parse_error", *WHY[6:]]).replace('p_partkey % 8', 'shape')} as why from c)
+select count(*) as total, count(why) as excluded, count(*) - count(why) as included, round(count(why) / count(*), 6) as exclusion_rate,
+{", ".join(f"count(*) filter (why = '{x}') as {x}" for x in [*trivial.REASONS, "parse_error"])} from r""")
+def exclusion_statistics(spark, d):
+    return trivial.exclusion_stats(_sources(spark, d))
+
+
+@_query(f"""with {SOURCE_SQL}, u as (select *, {_by_shape([1, None, 1, 3, 1, 1, 5, None]).replace('p_partkey % 8', 'shape')} as l from c),
+b as (select p_partkey, shape, l, w, case when shape = 6 then code[instr(code, '    def area'):] else array_to_string(string_split(code, chr(10))[l:], chr(10)) end as body from u where l is not null)
+select p_partkey::varchar as file_path, case shape when 0 then 'get_' || w when 2 then 'test_' || w when 4 then '__str__' when 6 then 'area' else w end as function_name, l as line_number, sha256(body) as code_hash from b""")
+def line_functions(spark, d):
+    return store.line_functions(_sources(spark, d)).select("file_path", "function_name", "line_number", "code_hash")
+
+
+@_query(f"""with {SOURCE_SQL} select p_partkey::varchar as file_path, md5(case shape
+when 0 then 'def get_' || w || '(self, key):' || chr(10) || '    return self.' || w when 1 then code[:length(code) - 1] when 2 then code[:length(code) - 1]
+when 3 then code[:length(code) - 1] when 4 then code[:length(code) - 1]
+when 5 then code[:length(code) - 1] when 6 then code[:length(code) - 1] else '' end) as normal from c""")
+def normal_sources(spark, d):
+    return _sources(spark, d).select("file_path", F.md5(P.normalize("code_content")).alias("normal"))
+
+
+# Functions whose code is words of other columns, for the judges and the clusters by similarity.
+VERBS_OF = ["get", "set", "validate", "process", "convert", "create", "calculate", "on"]
+CODED_SQL = f"""k as (select p_partkey as id, {_by_shape(VERBS_OF)} || '_' || split_part(p_name, ' ', 1) as name, 'return ' || lower(p_type) as code, p_brand as file from part)"""
+JUDGED_SQL = "k as (select p_partkey as id, split_part(p_name, ' ', 1) || '_' || split_part(p_name, ' ', 2) as name, 'return ' || lower(p_type) as code from part)"
+
+
+def _coded(spark, d):
+    """(id, name, code, file) of every part: a verb and a colour, and the words of its type."""
+    verb = F.element_at(F.array(*[F.lit(x) for x in VERBS_OF]), (F.col("p_partkey") % 8 + 1).cast("int"))
+    return _table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.concat_ws("_", verb, F.split("p_name", " ")[0]).alias("name"), F.concat(F.lit("return "), F.lower("p_type")).alias("code"), F.col("p_brand").alias("file"))
+
+
+def _judged(spark, d):
+    """Parts as records named by two of their colours."""
+    name = F.array_join(F.slice(F.split("p_name", " "), 1, 2), "_")
+    return _table(spark, d, "part").select(F.col("p_partkey").alias("id"), name.alias("function_name"), F.concat(F.lit("return "), F.lower("p_type")).alias("code_content"), F.col("p_brand").alias("file_path"))
+
+
+WORDS_SQL = "list_distinct(regexp_extract_all(lower(code), '[a-z]+'))"
+
+
+@_query(f"""with {JUDGED_SQL}, u as (select name, code, min(id) as id, {WORDS_SQL} as w from k group by name, code), p as (
+select a.id as id_a, b.id as id_b, len(list_intersect(a.w, b.w))::double / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) as s
+from u a join u b on split_part(a.name, '_', 1) = split_part(b.name, '_', 1) and a.id < b.id)
+select id_a, id_b, round(s, 6) as similarity_score from p where s >= 0.7""")
+def judged_pairs(spark, d):
+    """Pairs of one name prefix that the rule-based judge finds similar."""
+    found = judge.pairwise(_judged(spark, d), judge.rule_judge)
+    return found.select("id_a", "id_b", F.round("similarity_score", 6).alias("similarity_score"))
+
+
+@_query(f"""with k as (select r_regionkey as id, r_name as name, 'return region code ' || r_name as code from region), w as (select *, {WORDS_SQL} as w from k),
+p as (select a.id as id_a, b.id as id_b, len(list_intersect(a.w, b.w))::double / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) as s from w a join w b on a.id < b.id)
+select id_a::bigint as id_a, id_b::bigint as id_b, round(s, 6) as similarity_score from p where s >= 0.6""")
+def judged_whole_set(spark, d):
+    """One question about all regions as functions."""
+    code = F.concat(F.lit("return region code "), "r_name")
+    r = _table(spark, d, "region").select(F.col("r_regionkey").cast("long").alias("id"), F.col("r_name").alias("function_name"), F.lit("r").alias("file_path"), code.alias("code_content"))
+    return judge.whole_set(r, judge.rule_judge, 0.6).select("id_a", "id_b", F.round("similarity_score", 6).alias("similarity_score"))
+
+
+@_query(f"""with {JUDGED_SQL}, u as (select name, code, min(id) as id from k group by name, code), c as (
+select a.id as id_a, b.id as id_b, a.code as ca, b.code as cb, greatest(0, 1 - abs(length(a.code) - length(b.code)) / greatest(length(a.code), length(b.code), 1)::double) as l
+from u a join u b on split_part(a.name, '_', 1) = split_part(b.name, '_', 1) and a.id < b.id),
+t as (select * from c order by l desc, id_a, id_b limit 20), w as (select *, list_distinct(regexp_extract_all(lower(ca), '[a-z]+')) as wa, list_distinct(regexp_extract_all(lower(cb), '[a-z]+')) as wb from t),
+s as (select id_a, id_b, round(len(list_intersect(wa, wb))::double / (len(wa) + len(wb) - len(list_intersect(wa, wb))), 6) as semantic_similarity from w)
+select *, semantic_similarity >= 0.8 as is_duplicate from s""")
+def semantic_pairs(spark, d):
+    """The 20 candidates likest in length, by what the rule-based judge says they are for."""
+    pairs = judge.group_pairs(_judged(spark, d)).withColumn("similarity_score", X.length_likeness(F.col("code_a"), F.col("code_b")))
+    return judge.semantic(pairs, judge.rule_judge).select("id_a", "id_b", "semantic_similarity", "is_duplicate")
+
+
+@_query(f"""with {JUDGED_SQL}, g as (select split_part(name, '_', 1) as group_id, lower(regexp_replace(code, '[a-zA-Z_][a-zA-Z0-9_]*', 'VAR', 'g')) as norm, id from k),
+f as (select group_id, norm, min(id) as id_a from g group by 1, 2)
+select group_id, id_a, id as id_b, 1.0::double as similarity_score from g join f using (group_id, norm) where id > id_a""")
+def group_duplicates(spark, d):
+    """Functions of one skeleton within their prefix group."""
+    return similarity.group_detector(_judged(spark, d))
+
+
+@_query(f"""with {CODED_SQL} select id, case split_part(name, '_', 1) when 'get' then 'data_accessors' when 'set' then 'data_mutators' when 'validate' then 'validators' when 'process' then 'processors'
+when 'convert' then 'transformers' when 'create' then 'factories' when 'calculate' then 'calculators' else 'event_handlers' end as family, name[1:3] as three from k""")
+def pattern_families(spark, d):
+    return _coded(spark, d).select("id", X.pattern_family(F.col("name"), F.col("code")).alias("family"), F.substring("name", 1, 3).alias("three"))
+
+
+@_query("""with t as (select page_id, url, array_to_string(list_filter(string_split(regexp_replace(url, '^[a-z]+://', ''), '/'), lambda x: x <> ''), '/') as path from pages)
+select page_id, path, regexp_matches(path, '(^|/)(build|dist|tmp|temp|env|venv)(/|$)') or regexp_matches(path, '\\.(log|db|so|tmp)$') as ignored from t""")
+def ignored_paths(spark, d):
+    """Paths of pages under a few patterns."""
+    url = F.regexp_replace("url", "^[a-z]+://", "")
+    path = F.array_join(F.filter(F.split(url, "/"), lambda x: x != ""), "/")
+    some = ["build/", "dist/", "tmp/", "temp/", "env/", "venv/", "*.log", "*.db", "*.so", "*.tmp"]
+    return _table(spark, d, "pages").select("page_id", path.alias("path")).withColumn("ignored", ignore.is_ignored(F.col("path"), some, tests=False))
+
+
+@_query(f"""with o2 as (select o_orderkey, o_orderdate as scan_timestamp, (select max(l_shipdate) from lineitem where l_orderkey = o_orderkey) as last_modified, o_orderstatus as file_hash from orders)
+select o_orderkey from o2 where last_modified > scan_timestamp or file_hash <> 'F'""")
+def stale_files(spark, d):
+    """Orders as files: shipped after they were scanned, or under another state than the reference."""
+    shipped = _table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.max("l_shipdate").alias("last_modified"))
+    files = _table(spark, d, "orders").select("o_orderkey", F.col("o_orderdate").alias("scan_timestamp"), F.col("o_orderstatus").alias("file_hash"))
+    return store.stale(files.join(shipped, "o_orderkey", "left"), "F").select("o_orderkey")
+
+
+@_query("select distinct source as file_path from documents where source is not null")
+def file_paths(spark, d):
+    return store.file_paths(_records(spark, d))
+
+
+@_query("select o_orderstatus as status, count(*) as n from orders where o_totalprice > 100000 group by 1")
+def custom_query(spark, d):
+    return store.query(spark, "select o_orderstatus as status, count(*) as n from {orders} where o_totalprice > :least group by 1", {"least": 100000}, orders=_table(spark, d, "orders"))
+
+
+@_query(f"""with {CODED_SQL}, r as (select split_part(name, '_', 1) as p, name, reverse(name) as rn from k) select p as prefix, min(name) as least, max(name) as most, p || '_' as start from r group by 1
+having left(min(name), length(p) + 2) <> left(max(name), length(p) + 2)""")
+def common_starts(spark, d):
+    """The common start of the names of each prefix that doesn't reach into their second word."""
+    g = _coded(spark, d).groupBy(F.substring_index("name", "_", 1).alias("prefix")).agg(F.min("name").alias("least"), F.max("name").alias("most"))
+    found = g.withColumn("start", X.common_start(F.col("least"), F.col("most")))
+    return found.where(F.length("start") == F.length("prefix") + 1)
+
+
+@_query(f"""with {CODED_SQL}, f as (select id, code, length(code) - length(replace(code, ' ', '')) as blanks from k)
+select id, 1 as line_count, contains(code, 'return ') as has_return_value, 'unknown' as category, 0.5::double as confidence, 'Basic structural analysis' as reasoning from f""")
+def structural_flags(spark, d):
+    f = X.structure_flags(F.col("code"))
+    return _coded(spark, d).select("id", f.alias("f")).select("id", "f.line_count", "f.has_return_value", "f.category", "f.confidence", "f.reasoning")
+
+
+@_query("select o_orderkey, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') as iso from orders")
+def iso_times(spark, d):
+    return _table(spark, d, "orders").select("o_orderkey", X.iso(F.col("o_orderdate")).alias("iso"))
+
+
+def similarity_clusters(spark, d):
+    """Clusters of every tenth part's function by similarity; no SQL for the matching-blocks ratio."""
+    return similarity.similarity_clusters(_coded(spark, d))
+
+
+def merged_clusters(spark, d):
+    """Clusters by category and similarity, merged; no SQL."""
+    return similarity.merged_clusters(_coded(spark, d))
+
+
+QUERIES |= {"similarity_clusters": similarity_clusters, "merged_clusters": merged_clusters}
