@@ -4,8 +4,9 @@
    document a posterior p over the domains.
 2. Nonnegative rates r are fitted so that the expected domain token totals t_k = sum r * tokens * p_k match targets:
    projected gradient on the least squares |t - T|, scaled by the inverse of G = sum tokens * p p' over the rows whose
-   rate is inside [0, CEILING], so that a step is r <- clip(r - p . G^-1 (t - T)), halved until it comes nearer.  A step
-   is exact unless more rates reach a bound; targets that no such rates meet are met as nearly as the steps come.
+   rate is above 0 (and under `ceiling`, if one is asked for), so that a step is r <- clip(r - p . G^-1 (t - T)), halved
+   until it comes nearer.  A step is exact unless more rates reach a bound.  mixing_report() says what was reached;
+   where that isn't the target by more than `close`, a warning says so too.
    It needs only the k totals and G, one distributed sum; the rates are a function of p and the steps so far, so no
    state is kept by document.
 3. Unless a total is given, it is the one at which the domain `whole` is to have all of its tokens; where that domain has
@@ -21,6 +22,7 @@ Defined cases
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,14 +30,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cinnabar.llm.common import key_columns, materialize
+from cinnabar.llm.common import key_columns, materialize, whole_id
 from cinnabar.llm.textkern import distinct_per_row, groups, span_hashes, utf8, word_spans
 
 DOMAINS = ["toxic", "low", "high"]
 TARGETS = {"high": 0.86, "low": 0.13, "toxic": 0.01}
 WHOLE = "high"
-#: No document is wanted more often than this.
-CEILING = 4.0
+#: A part of the total by which the reached totals may differ from the targets without a warning.
+CLOSE = 1e-3
 SLOTS = 1 << 18
 #: Numbers about a text beside its words.
 SHAPE = 6
@@ -125,11 +127,11 @@ class Classifier:
 
 def fit_classifier(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = 6000) -> Classifier:
     """labels: doc_id, quality, toxic.  At most train_rows labelled documents reach the driver, as features."""
-    known = labels.select(F.col("doc_id").cast("long").alias("i"), domain(F.col("quality"), F.col("toxic")).alias("k")).where("i is not null and k is not null")
+    known = labels.select(whole_id("doc_id").alias("i"), domain(F.col("quality"), F.col("toxic")).alias("k")).where("i is not null and k is not null")
     rank = F.array_position(F.array(*[F.lit(d) for d in DOMAINS]), F.col("k"))
     known = known.groupBy("i").agg(F.min(rank).cast("int").alias("k"))
     chosen = known.orderBy(F.xxhash64("i"), "i").limit(train_rows)
-    rows = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).join(F.broadcast(chosen), "i")
+    rows = docs.select(whole_id(id_col).alias("i"), F.col(text_col).alias("t")).join(F.broadcast(chosen), "i")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -168,18 +170,20 @@ def posteriors(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_
     return keyed.mapInArrow(run, "__n boolean, __d long, __h long, tokens long, " + ", ".join(f"p_{d} double" for d in DOMAINS))
 
 
-def rate(steps: list[np.ndarray]) -> Column:
+def rate(steps: list[np.ndarray], ceiling: float | None = None) -> Column:
     """The rate of a document as a function of its posterior, after these steps."""
     r = F.lit(1.0)
     for step in steps:
         move = sum((F.col(f"p_{d}") * float(step[k]) for k, d in enumerate(DOMAINS)), F.lit(0.0))
-        r = F.least(F.lit(CEILING), F.greatest(F.lit(0.0), r - move))
+        r = F.greatest(F.lit(0.0), r - move)
+        r = r if ceiling is None else F.least(F.lit(float(ceiling)), r)
     return r
 
 
-def _pass(p: DataFrame, steps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Under the rates after these steps: each domain's expected tokens, and the Gram matrix of the rows with a rate above 0."""
+def _pass(p: DataFrame, steps: list[np.ndarray], ceiling: float | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Under the rates after these steps: each domain's expected tokens, and the Gram matrix of the rows with a rate inside its bounds."""
     names, k = [f"p_{d}" for d in DOMAINS], len(DOMAINS)
+    most = np.inf if ceiling is None else ceiling
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, gram = np.zeros(k), np.zeros((k, k))
@@ -188,9 +192,9 @@ def _pass(p: DataFrame, steps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray
             tokens = b.column("tokens").to_numpy(zero_copy_only=False).astype(float)
             r = np.ones(len(tokens))
             for step in steps:
-                r = np.clip(r - x @ step, 0.0, CEILING)
+                r = np.clip(r - x @ step, 0.0, most)
             total += (r * tokens) @ x
-            free = (r > 0) & (r < CEILING)
+            free = (r > 0) & (r < most)
             gram += x[free].T @ (x[free] * tokens[free, None])
         yield pa.RecordBatch.from_pydict({"k": np.arange(k + k * k, dtype=np.int32), "x": np.concatenate([total, gram.ravel()])})
 
@@ -201,9 +205,11 @@ def _pass(p: DataFrame, steps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray
     return out[:k], out[k:].reshape(k, k)
 
 
-def fit_rates(p: DataFrame, targets: dict[str, float], total: float | None = None, whole: str = WHOLE, most: int = 40, close: float = 1e-6) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+def fit_rates(
+    p: DataFrame, targets: dict[str, float], total: float | None = None, whole: str = WHOLE, most: int = 40, close: float = 1e-6, ceiling: float | None = None
+) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """The steps of the fit, the target totals and the totals reached.  Only sums over all rows reach the driver."""
-    mass, gram = _pass(p, [])
+    mass, gram = _pass(p, [], ceiling)
     weight = np.array([targets.get(d, 0.0) for d in DOMAINS])
     weight = weight / weight.sum()
     live = (mass > 0) & (weight > 0)
@@ -220,7 +226,7 @@ def fit_rates(p: DataFrame, targets: dict[str, float], total: float | None = Non
         step = np.linalg.pinv(gram, rcond=1e-6) @ (now - goal)
         miss, passes = np.abs(now - goal).sum(), 0
         while True:  # halved until it comes nearer
-            after, free = _pass(p, [*steps, step])
+            after, free = _pass(p, [*steps, step], ceiling)
             passes += 1
             gain = miss - np.abs(after - goal).sum()
             if gain > 0 or passes == 6:
@@ -233,12 +239,29 @@ def fit_rates(p: DataFrame, targets: dict[str, float], total: float | None = Non
     return steps, goal, now
 
 
-def mixing_rates(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", targets: dict[str, float] = TARGETS, total: float | None = None) -> DataFrame:
-    """(__n, __d, __h, tokens, p_<domain>..., rate) of every document."""
+def mixing_fit(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", targets: dict[str, float] = TARGETS, total: float | None = None, ceiling: float | None = None
+) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """(__n, __d, __h, tokens, p_<domain>..., rate) of every document, the target totals and those reached."""
     model = fit_classifier(docs, labels, id_col, text_col)
     p = materialize(posteriors(docs, model, id_col, text_col), "posteriors")
-    steps, _, _ = fit_rates(p, targets, total)
-    return p.withColumn("rate", F.round(rate(steps), 9))
+    steps, goal, reached = fit_rates(p, targets, total, ceiling=ceiling)
+    if np.abs(goal - reached).sum() > CLOSE * goal.sum() > 0:
+        far = ", ".join(f"{d}: {r:.0f} for {g:.0f}" for d, g, r in zip(DOMAINS, goal, reached, strict=True))
+        warnings.warn(f"the rates don't meet the targets: {far}", stacklevel=2)
+    return p.withColumn("rate", F.round(rate(steps, ceiling), 9)), goal, reached
+
+
+def mixing_rates(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """(__n, __d, __h, tokens, p_<domain>..., rate) of every document."""
+    return mixing_fit(docs, labels, id_col, text_col, **options)[0]
+
+
+def mixing_report(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """(domain, goal, reached, gap) in expected tokens."""
+    _, goal, reached = mixing_fit(docs, labels, id_col, text_col, **options)
+    rows = [(d, float(g), float(r), float(r - g)) for d, g, r in zip(DOMAINS, goal, reached, strict=True)]
+    return docs.sparkSession.createDataFrame(rows, "domain string, goal double, reached double, gap double")
 
 
 def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
