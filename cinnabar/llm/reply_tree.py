@@ -18,14 +18,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: A message's score counts its words up to this many.
-SCORE_WORDS = 200
+from cinnabar.llm.common import discard, materialize
 
 
 def word_score(text: Column) -> Column:
-    """Words of a text (runs of anything but spaces and line ends), at most SCORE_WORDS."""
+    """Words of a text: runs of anything but spaces and line ends."""
     words = F.filter(F.split(F.coalesce(text, F.lit("")), "[ \n]", -1), lambda w: w != "")
-    return F.least(F.size(words), F.lit(SCORE_WORDS)).cast("double")
+    return F.size(words).cast("double")
 
 
 def tree_from_turns(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
@@ -52,7 +51,7 @@ def root_paths(messages: DataFrame) -> DataFrame:
         "conv", "node", F.when(F.col("there"), F.col("parent")).alias("ptr"), F.array("node").alias("path"),
         F.coalesce("score", F.lit(0.0)).alias("total"), F.lit(False).alias("lost"),
     )
-    state = state.checkpoint()
+    state = materialize(state, "paths")
     while state.where("ptr is not null").limit(1).count():
         s, t = state.alias("s"), state.alias("t")
         step = s.join(t, (F.col("s.conv") == F.col("t.conv")) & (F.col("s.ptr") == F.col("t.node")), "left")
@@ -64,18 +63,23 @@ def root_paths(messages: DataFrame) -> DataFrame:
         )
         circle = F.col("ptr").isNotNull() & F.array_contains("path", F.col("ptr"))
         step = step.withColumn("lost", F.col("lost") | circle)
-        state = step.select("conv", "node", F.when(~F.col("lost"), F.col("ptr")).alias("ptr"), F.when(F.col("lost"), F.array("node")).otherwise(F.col("path")).alias("path"), "total", "lost").checkpoint()
+        new = step.select("conv", "node", F.when(~F.col("lost"), F.col("ptr")).alias("ptr"), F.when(F.col("lost"), F.array("node")).otherwise(F.col("path")).alias("path"), "total", "lost")
+        new = materialize(new, "paths")
+        discard(state)
+        state = new
     return state.where(~F.col("lost")).select("conv", "node", "path", "total")
 
 
-def reply_trees(messages: DataFrame, keep: int = 1, opening: str = "<|{role}|>\n", closing: str = "<|end|>\n") -> DataFrame:
-    """The best `keep` branches of each conversation: conv_id, branch, n_messages, score, text."""
+def reply_trees(messages: DataFrame, keep: int | None = None, opening: str = "<|{role}|>\n", closing: str = "<|end|>\n") -> DataFrame:
+    """All branches of each conversation, or the best `keep`, by rank: conv_id, branch, n_messages, score, text."""
+    messages = materialize(messages, "messages")  # read several times
     paths = root_paths(messages)
     parents = messages.where("parent is not null").select("conv", F.col("parent").alias("node")).distinct()
     leaves = paths.join(parents, ["conv", "node"], "left_anti")
     score = (F.col("total") / F.size("path")).alias("score")
     order = Window.partitionBy("conv").orderBy(F.desc("score"), F.desc(F.size("path")), "path")
-    best = leaves.select("conv", "path", score).withColumn("branch", F.row_number().over(order)).where(F.col("branch") <= keep)
+    best = leaves.select("conv", "path", score).withColumn("branch", F.row_number().over(order))
+    best = best if keep is None else best.where(F.col("branch") <= keep)
     each = best.select("conv", "branch", "score", F.posexplode("path").alias("at", "node"))
     texts = messages.groupBy("conv", "node").agg(F.min(F.struct("role", "text")).alias("m"))
     before, after = opening.split("{role}")
