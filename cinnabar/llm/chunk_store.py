@@ -4,11 +4,13 @@ Each text is turned into token ids and its id stream is cut where a rolling hash
 zero (about every 256 ids), and at MOST ids at the latest.  A cut depends on nearby ids only, so equal passages of
 different documents give equal chunks.  A chunk is kept once, under the SHA-256 of its bytes (ids as little-endian
 16-bit words, or 32-bit ones for larger vocabularies).  A document's recipe lists its chunks in order together with
-the root of the Merkle tree over their digests; verify() rebuilds every document from the store and checks digests,
-roots and lengths.
+the root of the Merkle tree over their digests.  The manifest is the Merkle tree over all recipes: its root changes with any
+of them, so a lost or changed recipe shows.  verify() rebuilds every document from the store, checks digests, roots and
+lengths, and the store's recipes against its manifest.
 
 The store is one table: rows of kind "chunk" (key = digest, payload, n_ids) and of kind "recipe" (key = the document's
-id and root, doc_id, parts, n_ids, root).  One pass over the text makes both, one shuffle by key drops the repeats.
+id and root, doc_id, parts, n_ids, root); chunk_store_with_manifest() adds one of kind "manifest" (n_ids = recipes, parts
+= digests of its top branches, root).  One pass over the text makes both, one shuffle by key drops the repeats.
 
 Defined cases
 * A null or empty text has a recipe without parts; its root is the hash of nothing.
@@ -27,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cinnabar.llm.common import discard, materialize, whole_id
 from cinnabar.llm.textkern import U64, _power, groups, mix64, ragged, span_hashes, utf8
 
 #: The pre-tokenizer pattern of byte-level BPE: one piece is a contraction, letters, digits, marks or white space.
@@ -210,7 +213,7 @@ def chunk_store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     names=["key", "kind", "doc_id", "n_ids", "parts", "root", "payload"],
                 )
 
-    made = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("t")).mapInArrow(run, SCHEMA)
+    made = docs.select(whole_id(id_col).alias("d"), F.col(text_col).alias("t")).mapInArrow(run, SCHEMA)
     return made.dropDuplicates(["key"])
 
 
@@ -233,3 +236,37 @@ def reconstruct(store: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("root"), b.column("n_ids"), pa.array(ids, pa.binary()), pa.array(sound)], names=["doc_id", "root", "n_ids", "ids", "sound"])
 
     return joined.mapInArrow(run, "doc_id long, root string, n_ids long, ids binary, sound boolean")
+
+
+def manifest(store: DataFrame, digits: int = 6) -> DataFrame:
+    """One row of kind "manifest": the root over all recipes.
+
+    Recipes' digests are put in order and hashed together by their first `digits` hex digits, these by half as many, these
+    into the root: no task holds more than a branch of the tree.
+    """
+    leaf = F.sha2(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "root", F.col("n_ids").cast("string")), 256)
+    level = store.where("kind = 'recipe'").select(leaf.alias("x"), F.lit(1).cast("long").alias("n"), leaf.alias("at"))
+    for size in (digits, digits // 2):
+        branch = F.sha2(F.array_join(F.array_sort(F.collect_list("x")), ""), 256)
+        level = level.groupBy(F.substring("at", 1, size).alias("at")).agg(branch.alias("x"), F.sum("n").alias("n"))
+    tops = F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda t: t["x"])
+    whole = level.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_ids"), tops.alias("parts")).withColumn("root", F.sha2(F.array_join("parts", ""), 256))
+    return whole.select(
+        F.lit("manifest").alias("key"), F.lit("manifest").alias("kind"), F.lit(None).cast("long").alias("doc_id"), "n_ids", "parts", "root", F.lit(None).cast("binary").alias("payload")
+    )
+
+
+def chunk_store_with_manifest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
+    """The store of a table of documents, and its manifest."""
+    store = materialize(chunk_store(docs, id_col, text_col, vocabulary), "store")
+    return store.unionByName(manifest(store))
+
+
+def verify(store: DataFrame) -> DataFrame:
+    """(documents, unsound, manifest_holds) of a store with its manifest."""
+    sums = reconstruct(store).agg(F.count(F.lit(1)).alias("documents"), F.count_if(~F.col("sound")).alias("unsound"))
+    said = store.where("kind = 'manifest'").agg(F.first("root").alias("said"), F.first("n_ids").alias("n"))
+    now = manifest(store).select(F.col("root").alias("now"), F.col("n_ids").alias("m"))
+    one = F.lit(1)
+    joined = sums.withColumn("one", one).join(said.withColumn("one", one), "one").join(now.withColumn("one", one), "one")
+    return joined.select("documents", "unsound", F.coalesce((F.col("said") == F.col("now")) & (F.col("n") == F.col("m")), F.lit(False)).alias("manifest_holds"))

@@ -1,62 +1,20 @@
-"""Shared helpers: where intermediate tables live, and null- and repeat-safe row keys."""
+"""Shared helpers: intermediate tables, and null- and repeat-safe row keys."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_mine: list[tuple[SparkSession, str]] = []
+from cinnabar.sources.scratch import discard, materialize, shared_dir
 
+__all__ = ["discard", "key_columns", "materialize", "shared_dir", "table", "whole_id"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir; a local one only where that is unset."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="cinnabar-"))
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
 
-
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def _clean() -> None:
-    for spark, path in _mine:
-        try:
-            _delete(spark, path)
-        except Exception:  # the session may be gone already
-            return
-
-
-atexit.register(_clean)
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cinnabar-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _mine.append((spark, path))
-    out = spark.read.schema(df.schema).parquet(path)
-    out._cinnabar_path = path  # type: ignore[attr-defined]
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Delete a table made by materialize() that nothing reads any more."""
-    path = getattr(df, "_cinnabar_path", None)
-    if path:
-        _delete(df.sparkSession, path)
-        _mine[:] = [(s, p) for s, p in _mine if p != path]
+def whole_id(c: str | Column) -> Column:
+    """An id as a whole number; one that isn't, as most texts, counts as null."""
+    return (F.col(c) if isinstance(c, str) else c).try_cast("long")
 
 
 def key_columns(doc_id: str | Column, text: str | Column, prefix: str = "__") -> list[Column]:
@@ -64,8 +22,8 @@ def key_columns(doc_id: str | Column, text: str | Column, prefix: str = "__") ->
     doc_id = F.col(doc_id) if isinstance(doc_id, str) else doc_id
     text = F.col(text) if isinstance(text, str) else text
     return [
-        doc_id.isNull().alias(f"{prefix}n"),
-        F.coalesce(doc_id.cast("long"), F.lit(0)).alias(f"{prefix}d"),
+        whole_id(doc_id).isNull().alias(f"{prefix}n"),
+        F.coalesce(whole_id(doc_id), F.lit(0)).alias(f"{prefix}d"),
         F.xxhash64(text).alias(f"{prefix}h"),
     ]
 

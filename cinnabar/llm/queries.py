@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cinnabar.llm.chunk_store import chunk_store
+from cinnabar.llm.chunk_store import chunk_store_with_manifest
 from cinnabar.llm.common import table
 from cinnabar.llm.language_id import fit_prototypes, identify
 from cinnabar.llm.line_dedup import line_dedup
@@ -16,7 +16,7 @@ from cinnabar.llm.mixing import DOMAINS, mixing_rates
 from cinnabar.llm.near_dedup import near_duplicates
 from cinnabar.llm.order_minhash import order_minhash
 from cinnabar.llm.packing import pack
-from cinnabar.llm.reply_tree import SCORE_WORDS, reply_trees, tree_from_turns
+from cinnabar.llm.reply_tree import reply_trees, tree_from_turns
 from cinnabar.llm.url_filter import url_filter
 
 #: Entries of the production URL filter: (entry, action).
@@ -110,7 +110,7 @@ def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_chunk_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunk_store(table(spark, sf_dir, "documents"))
+    return chunk_store_with_manifest(table(spark, sf_dir, "documents"))
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,7 +125,7 @@ def op10_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reply_trees(tree_from_turns(table(spark, sf_dir, "conversations")))
 
 
-OP10_SQL = rf"""
+OP10_SQL = r"""
 with recursive base as (
   select distinct conv_id as conv, turn, coalesce(role, 'unknown') as role, coalesce(text, '') as text
   from conversations where conv_id is not null and turn is not null
@@ -136,8 +136,8 @@ with recursive base as (
   select conv, turn, max(first) over (partition by conv order by turn rows between unbounded preceding and 1 preceding) as parent from firsts
 ), msgs as (
   select n.conv, n.node, l.parent, n.role, n.text,
-         least(len(list_filter(regexp_split_to_array(n.text, '[ 
-]'), lambda w: w <> '')), {SCORE_WORDS})::double as score
+         len(list_filter(regexp_split_to_array(n.text, '[ 
+]'), lambda w: w <> ''))::double as score
   from numbered n join links l on n.conv = l.conv and n.turn = l.turn
 ), walk as (
   select conv, node, [node] as path, score as total,
@@ -152,7 +152,7 @@ with recursive base as (
 ), ranked as (
   select *, row_number() over (partition by conv order by score desc, len(path) desc, path) as branch from leaves
 )
-select conv as conv_id, branch, len(path) as n_messages, score, said as text from ranked where branch = 1
+select conv as conv_id, branch, len(path) as n_messages, score, said as text from ranked
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -333,3 +333,145 @@ def test_base64_wrapped_or_without_padding(kind):
             for after in (b'">', b" words follow"):
                 parts = M.sniff(b'<html><img src="data:x/y;base64,' + wrapped + after)[1]
                 assert [(n, t, e, y) for _, n, t, e, y in parts] == [(len(wrapped), kind, "base64", data)]
+
+
+def test_language_bundles_by_brute_force_and_scripts_apart():
+    import unicodedata
+
+    from cinnabar.llm import language_id as L
+
+    hyper = L.Profiles()
+
+    def plain(text):
+        low = [ord(c.lower()[0]) if unicodedata.category(c)[0] in "LM" else 0 for c in unicodedata.normalize("NFC", text)]
+        x = [0]
+        for c in [*low, 0]:
+            if c or x[-1]:
+                x.append(c)
+        total = np.zeros(L.DIM)
+        for a, b, c in zip(x, x[1:], x[2:], strict=False):
+            one, two, three = (L.letter_vectors(np.array([k]))[0].astype(float) for k in (a, b, c))
+            total += np.roll(one, 2) * np.roll(two, 1) * three
+        return total
+
+    texts = ["Über  den Flüssen!", "Где растёт клюква", "Де росте журавлина, її", "日本語の文章", "한국어 문장", "żółw ğüş", "été", "été", "हिन्दी में", "🙂 x 7", "ﻻ ＡＢ", "a"]
+    got = [b for b, _ in hyper.bundles(pa.array(texts))]
+    for t, v in zip(texts, got, strict=True):
+        assert np.array_equal(v, plain(t)), t
+    assert np.array_equal(got[6], got[7])
+    cos = lambda a, b: float(a @ b / np.linalg.norm(a) / np.linalg.norm(b))
+    assert abs(cos(got[3], got[4])) < 0.2 and cos(got[1], got[2]) < 0.8 and abs(cos(got[0], got[1])) < 0.2
+
+
+def test_short_clean_texts_stay_under_their_label(spark):
+    from cinnabar.llm.language_id import fit_prototypes, identify
+
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    odd = spark.createDataFrame([(1, "Avec.", "fr"), (2, "A.", "en"), (3, "99", "en"), (4, "Ok", None)], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: (r["language"], r["accepted"]) for r in identify(odd, fit_prototypes(d), declared="lang").collect()}
+    assert got[1] == ("fr", True) and got[2] == ("en", True) and got[3] == ("und", False) and got[4][1]
+
+
+def test_text_ids_and_clashing_columns(spark):
+    d = spark.createDataFrame([("x1", "one two three", "en", "s", 13), ("7", "one two four", "en", "s", 12), (None, "z", "en", "s", 1)], "doc_id string, text string, lang string, source string, n_chars long")
+    d = d.withColumn("a.b", F.lit(1)).withColumn("lines_removed", F.lit(2)).withColumn("language", F.lit("q")).withColumn("__d", F.lit(3))
+    labels = spark.createDataFrame([("x1", 1, 0), ("7", 0, 0)], "doc_id string, quality int, toxic int")
+    import corpus_pipeline as CP
+
+    assert line_dedup(d).count() == 3 and near_dedup(d).count() == 3 and CS.chunk_store(d).where("kind = 'recipe'").count() == 3
+    assert sum(r["n_tokens"] for r in PK.pack(d).collect()) == 7
+    kept = MX.resample(d, labels)
+    assert kept.columns == d.columns
+    for stage in (CP.language, CP.lines, CP.near_duplicates):
+        got = stage(spark, d, SF)
+        assert got.columns == d.columns and {r["language"] for r in got.collect()} <= {"q"} and {r["lines_removed"] for r in got.collect()} <= {2}
+    assert CP.lines(spark, d, SF).count() == 3
+
+
+def test_mixing_against_another_solver(spark):
+    rng = np.random.default_rng(3)
+    x = rng.dirichlet([0.4, 0.4, 0.4], 300)
+    tokens = rng.integers(1, 500, 300)
+    rows = [(int(t), *map(float, p)) for t, p in zip(tokens, x, strict=True)]
+    p = spark.createDataFrame(rows, "tokens long, p_toxic double, p_low double, p_high double")
+    targets = {"toxic": 0.9, "low": 0.05, "high": 0.05}
+    steps, goal, now = MX.fit_rates(p, targets, float(tokens.sum()))
+    assert np.abs(now - goal).sum() < 1e-4 * goal.sum()
+    # plain projected gradient on nonnegative rates, with a fixed small step
+    a = (x * tokens[:, None]).T
+    r = np.ones(300)
+    for _ in range(200_000):
+        r = np.maximum(0, r - (a.T @ (a @ r - goal)) / np.linalg.norm(a, 2) ** 2)
+    best = np.abs(a @ r - goal).sum()
+    assert np.abs(now - goal).sum() <= best + 1e-4 * goal.sum()
+    mine = np.ones(300)
+    for s in steps:
+        mine = np.maximum(0, mine - x @ s)
+    assert np.allclose(a @ mine, now, rtol=1e-6)
+    capped = MX.fit_rates(p, targets, float(tokens.sum()), ceiling=1.5)[2]
+    assert np.abs(capped - goal).sum() > 0.01 * goal.sum()
+
+
+def test_manifest_notices_a_lost_recipe_and_verify_a_lost_chunk(spark):
+    d = table(spark, "documents")
+    store = CS.chunk_store_with_manifest(d).cache()
+    said = CS.verify(store).first()
+    assert said["unsound"] == 0 and said["manifest_holds"] and said["documents"] == store.where("kind = 'recipe'").count()
+    recipe = store.where("kind = 'recipe' and doc_id is not null").orderBy("key").first()
+    assert not CS.verify(store.where(F.col("key") != recipe["key"])).first()["manifest_holds"]
+    assert CS.verify(store.where((F.col("kind") != "chunk") | (F.col("key") != recipe["parts"][0]))).first()["unsound"] > 0
+    store.unpersist()
+
+
+def test_chunks_by_brute_force_and_after_an_insertion():
+    rng = np.random.default_rng(1)
+    ids = rng.integers(0, 50_000, 20_000).astype(np.uint16)
+
+    def plain(s):
+        ends, last = [], 0
+        base = int(CS._power(2)[1])
+        for end in range(1, len(s) + 1):
+            if end < len(s) and end >= CS.WINDOW and len(s) > CS.WINDOW:
+                part = CS.mix64(s[end - CS.WINDOW : end].astype(CS.U64), 7)
+                value = sum(int(v) * pow(base, k, 2**64) for k, v in enumerate(part)) % 2**64
+                if int(CS.mix64(np.array([value], CS.U64))[0]) & CS.MASK == 0:
+                    ends.append(end)
+                    last = end
+        ends.append(len(s))
+        out, at = [], 0
+        for e in ends:
+            while e - at > CS.MOST:
+                at += CS.MOST
+                out.append(at)
+            out.append(e)
+            at = e
+        return out
+
+    assert CS.cuts(ids[:3000]).tolist() == plain(ids[:3000])
+    chunks = lambda s: {bytes(s[a:b].tobytes()) for a, b in zip([0, *CS.cuts(s)[:-1]], CS.cuts(s), strict=True)}
+    before, after = chunks(ids), chunks(np.insert(ids, 10_000, [1, 2, 3]))
+    assert len(before & after) >= len(before) - 3
+
+
+def test_all_branches_of_a_forked_conversation(spark):
+    from cinnabar.llm.reply_tree import tree_from_turns
+
+    turns = spark.createDataFrame([(1, 1, "user", "a"), (1, 2, "bot", "b"), (1, 2, "bot", "b b b"), (1, 3, "user", "c"), (2, 1, "user", "w " * 300), (None, 1, "x", "y")], "conv_id long, turn long, role string, text string")
+    got = [(r["conv_id"], r["branch"], r["n_messages"], r["score"]) for r in reply_trees(tree_from_turns(turns)).orderBy("conv_id", "branch").collect()]
+    assert got == [(1, 1, 2, 2.0), (1, 2, 3, 1.0), (2, 1, 1, 300.0)]
+    assert reply_trees(tree_from_turns(turns), keep=1).count() == 2
+
+
+def test_near_dedup_over_many_shards_with_a_hot_group(spark):
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(3000)]
+    base = [rng.choices(words, k=120) for _ in range(60)]
+    rows = [(i, " ".join(b)) for i, b in enumerate(base)]
+    for c in range(1500):  # one group holds most rows, all of them different
+        t = list(base[0])
+        t[rng.randrange(120)] = rng.choice(words)
+        rows.append((100 + c, " ".join(t)))
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["kept_doc_id"] for r in near_duplicates(d, shard_nodes=64).collect()}
+    assert sum(got.get(100 + c) == 0 for c in range(1500)) >= 0.99 * 1500
+    assert not any(i in got for i in range(60))
