@@ -11,7 +11,7 @@ whether the node's links are still to be followed.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 
@@ -20,6 +20,8 @@ from cinnabar.llm.textkern import mix64, ragged
 U64 = np.uint64
 OPEN = U64(1)
 BATCH = 8192
+#: Doublings of a beam that met none but nodes of the query's own component, after which it isn't doubled again.
+STALE = 2
 #: Nodes in the beams of a batch, at most.
 ROOM = 1 << 21
 
@@ -125,36 +127,44 @@ class SmallWorld:
             good = dist < worst[query]
             keys = _beams(np.concatenate([keys, _keys(query[good], dist[good], target[good])]), width)
 
-    def within(self, queries: np.ndarray, radius: int, beam: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    def within(self, queries: np.ndarray, radius: int, beam: int, linked: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Parts of (query, node, distance) of all nodes found within the radius.
 
         The beam of a query is doubled until its outer half holds no neighbour and doubling finds no further one.
         Beams of more than ROOM nodes in all are searched in halves, so that memory is bounded.
+        linked tells of (query, node) whether they are known to be in one component, given all parts so far.  With it
+        the beam isn't doubled again once a doubling has found no node of another component: a query amid thousands
+        of copies needn't name them all.
         """
         for start in range(0, len(queries), BATCH):
             part = queries[start : start + BATCH]
             rows = np.arange(len(part))
             width = np.full(len(part), beam)
-            todo = [(rows, np.full(len(part), -1), width, self.search(part, width))]
+            todo = [(rows, np.full(len(part), -1), np.zeros(len(part), np.int64), width, self.search(part, width))]
             while todo:
-                rows, before, width, keys = todo.pop()
+                rows, before, stale, width, keys = todo.pop()
                 inside = _dist(keys) <= radius
                 query = _query(keys)
                 hits = np.bincount(query[inside], minlength=len(rows))
                 more = (hits > 0) & (hits * 2 > width) | (hits > 0) & (before >= 0) & (hits > before)
                 more &= width < 2 * len(self.codes)
                 ended = keys[inside & ~more[query]]
+                if linked:  # all that is found is said at once, as it unites components
+                    ended = keys[inside]
+                    fresh = ~linked(rows[query[inside]] + start, _node(ended))
+                    stale = np.where(np.bincount(query[inside][fresh], minlength=len(rows)) > 0, 0, stale + 1)
+                    more &= stale < STALE
                 yield rows[_query(ended)] + start, _node(ended), _dist(ended)
                 if not more.any():
                     continue
                 keys = keys[more[query]]
                 query = (np.cumsum(more) - 1)[_query(keys)]
                 keys = _keys(query, _dist(keys), _node(keys))
-                rows, before, width = rows[more], hits[more], width[more] * 2
+                rows, before, stale, width = rows[more], hits[more], stale[more], width[more] * 2
                 pieces = min(len(rows), -(-int(np.minimum(width, len(self.codes)).sum()) // ROOM))
                 for some in np.array_split(np.arange(len(rows)), pieces):
                     own = keys[(query >= some[0]) & (query <= some[-1])] - (U64(some[0]) << U64(43))
-                    todo.append((rows[some], before[some], width[some], self.search(part[rows[some]], width[some], own)))
+                    todo.append((rows[some], before[some], stale[some], width[some], self.search(part[rows[some]], width[some], own)))
 
 
 def exact_within(codes: np.ndarray, queries: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
