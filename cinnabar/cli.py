@@ -13,6 +13,7 @@ from cinnabar.exceptions import CinnabarError
 from cinnabar.operators import detect
 from cinnabar.operators.ignore import Ignore
 from cinnabar.plans import analysis
+from cinnabar.sources import store
 
 
 def _session() -> SparkSession:
@@ -29,6 +30,9 @@ def report(found: dict[str, DataFrame]) -> str:
 
 
 def check(spark: SparkSession, args: argparse.Namespace, say: Callable[[str], None]) -> int:
+    if not store.exists(spark, args.path):
+        say(f"there is no {args.path}")
+        return 1
     found = analysis.check(spark, args.path, analysis.Config(max_files=args.max_files))
     if found["records"].isEmpty():
         say(f"no Python functions or classes in {args.path}")

@@ -5,6 +5,7 @@ Functions are rows (name, code, category, file...).  Null code counts as empty.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -55,6 +56,19 @@ def _alike(a: pd.Series, b: pd.Series, threshold: float) -> bool:
     return need <= 1 and _bounded(a["plain"], b["plain"], need) >= need
 
 
+def _leader(own: dict[int, int], led: dict[str, list], threshold: float) -> Callable[..., Column]:
+    """The leader of each row: as found already, else the first of its family that is alike enough; null if none is."""
+
+    def find(row: pd.Series, family: pd.Series, name: pd.Series, code: pd.Series, plain: pd.Series, tokens: pd.Series) -> pd.Series:
+        out = []
+        for k, f, *values in zip(row, family, name, code, plain, tokens, strict=True):
+            r = dict(zip(("name", "code", "plain", "tokens"), values, strict=True))
+            out.append(own[k] if k in own else next((x["__row"] for x in led.get(f, []) if _alike(x, r, threshold)), None))
+        return pd.Series(out, dtype=object)
+
+    return F.pandas_udf(find, T.LongType())
+
+
 def leaders(functions: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """functions with family and leader: in order, each function not taken yet leads, and takes the later ones alike enough.
 
@@ -82,15 +96,7 @@ def leaders(functions: DataFrame, threshold: float = THRESHOLD, block: int = BLO
             if by is None:
                 mine.append(r)
 
-        @F.pandas_udf(T.LongType())
-        def leader(row: pd.Series, family: pd.Series, name: pd.Series, code: pd.Series, plain: pd.Series, tokens: pd.Series, own: dict = own, led: dict = led) -> pd.Series:
-            out = []
-            for k, f, *values in zip(row, family, name, code, plain, tokens, strict=True):
-                r = dict(zip(("name", "code", "plain", "tokens"), values, strict=True))
-                out.append(own[k] if k in own else next((x["__row"] for x in led.get(f, []) if _alike(x, r, threshold)), None))
-            return pd.Series(out, dtype=object)
-
-        judged = materialize(left.withColumn("__leader", leader("__row", "family", "name", "__code", "__plain", "__tokens")), "leaders")
+        judged = materialize(left.withColumn("__leader", _leader(own, led, threshold)("__row", "family", "name", "__code", "__plain", "__tokens")), "leaders")
         done.append(judged.where("__leader is not null").select(*names, "family", "__row", "__leader"))
         discard(left)
         left = judged.where("__leader is null").drop("__leader")
@@ -122,9 +128,11 @@ def similarity_members(functions: DataFrame, threshold: float = THRESHOLD, least
 
 def pair_means(members: DataFrame) -> DataFrame:
     """(group_id, pairs, avg_similarity) over all pairs of each cluster; functions of one name and code are compared once."""
-    side = members.groupBy("group_id", "name", F.coalesce("code", F.lit("")).alias("code")).agg(F.min("row_id").alias("id"), F.count(F.lit(1)).alias("n"))
+    side = members.groupBy("group_id", "name", F.coalesce("code", F.lit("")).alias("code")).agg(F.count(F.lit(1)).alias("n"))
+    # the ratio isn't symmetric: the earlier by name and code comes first
+    before = F.struct("a.name", "a.code") < F.struct("b.name", "b.code")
     a, b = side.alias("a"), side.alias("b")
-    pairs = a.join(b, (F.col("a.group_id") == F.col("b.group_id")) & (F.col("a.id") < F.col("b.id")))
+    pairs = a.join(b, (F.col("a.group_id") == F.col("b.group_id")) & before)
     score = likeness(F.col("a.name"), F.col("b.name"), F.col("a.code"), F.col("b.code"))
     across = pairs.select(F.col("a.group_id").alias("group_id"), (F.col("a.n") * F.col("b.n")).alias("k"), score.alias("s"))
     within = side.where("n > 1").select("group_id", F.expr("n * (n - 1) div 2").alias("k"), F.lit(1.0).alias("s"))
@@ -183,7 +191,7 @@ def merge(category: DataFrame, similar: DataFrame, category_info: DataFrame, sim
     info = similar_info.select(F.col("group_id").alias("sim_id"), F.col("label").alias("sim_label"), F.col("confidence").alias("sim_confidence"))
     first = best.where("k = 1").join(info, "sim_id").select("cat_id", "sim_label", "sim_confidence", F.col("ratio").alias("top"))
     ratios = best.groupBy("cat_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", F.round("ratio", 6).alias("r")))), lambda x: x["r"]).alias("ratios"))
-    base = category_info.withColumnRenamed("group_id", "cat_id").join(category.groupBy(F.col("group_id").alias("cat_id")).agg(F.count(F.lit(1)).alias("size")), "cat_id")
+    base = category_info.select(F.col("group_id").alias("cat_id"), "label", "confidence").join(category.groupBy(F.col("group_id").alias("cat_id")).agg(F.count(F.lit(1)).alias("size")), "cat_id")
     joined = base.join(first, "cat_id", "left").join(ratios, "cat_id", "left")
     strong = F.coalesce(F.col("top") > 0.7, F.lit(False))
     refined = joined.select(
@@ -194,7 +202,7 @@ def merge(category: DataFrame, similar: DataFrame, category_info: DataFrame, sim
     # a name goes to the first similarity cluster that is large enough when it is reached; clusters of one family share no rows
     free = unassigned(similar.select("group_id", "name"), category)
     counted = free.groupBy("group_id").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= least)
-    more = counted.join(similar_info, "group_id").select(F.concat(F.lit("hybrid_"), "group_id").alias("group_id"), "label", F.round(F.col("confidence") * 0.9, 6).alias("confidence"), "size", F.lit(None).cast("array<double>").alias("ratios"))
+    more = counted.join(similar_info.select("group_id", "label", "confidence"), "group_id").select(F.concat(F.lit("hybrid_"), "group_id").alias("group_id"), "label", F.round(F.col("confidence") * 0.9, 6).alias("confidence"), "size", F.lit(None).cast("array<double>").alias("ratios"))
     used = category.select("name").union(free.join(counted.select("group_id"), "group_id", "left_semi").select("name"))
     rest = unassigned(functions.select("name"), used).agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= least)
     misc = rest.select(F.lit("hybrid_miscellaneous").alias("group_id"), F.lit("Miscellaneous Functions").alias("label"), F.lit(0.5).alias("confidence"), "size", F.lit(None).cast("array<double>").alias("ratios"))
