@@ -102,3 +102,42 @@ def file_statistics(functions: DataFrame) -> DataFrame:
 
 def large_groups(functions: DataFrame, threshold: int = 20) -> DataFrame:
     return functions.groupBy("file").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > threshold)
+
+
+def functions_of(units: DataFrame) -> DataFrame:
+    """The functions among units, as clusters take them: name, code, file, category, line_number, complexity."""
+    return units.where(F.col("type") == "function").select(
+        "name", F.col("source_code").alias("code"), F.coalesce("file_path", F.lit("unknown")).alias("file"), F.lit("unknown").alias("category"),
+        F.coalesce("start_line", F.lit(0)).alias("line_number"), F.coalesce("complexity_score", F.lit(0)).alias("complexity"),
+    )
+
+
+def should_split(size: Column, most: int = 20) -> Column:
+    return size > most
+
+
+def recommended_strategy(size: Column) -> Column:
+    """None for any group: groups are split by rules and judges, not by size."""
+    return F.lit(None).cast("string")
+
+
+def split_by_size(members: DataFrame) -> DataFrame:
+    """The groups as they are, for the same reason."""
+    return members
+
+
+def split_change(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Groups, their largest and mean size before and after a split, sizes over 20 and up to 15 after it, and the factor."""
+
+    def one(members: DataFrame, name: str) -> DataFrame:
+        s = sizes(members)
+        extra = [F.count_if(F.col("size") > 20).alias("over_20"), F.count_if(F.col("size") <= 15).alias("up_to_15")] if name == "split" else []
+        return s.agg(F.count(F.lit(1)).alias(f"{name}_groups"), F.coalesce(F.max("size"), F.lit(0)).alias(f"{name}_largest"), F.round(F.coalesce(F.avg("size"), F.lit(0.0)), 4).alias(f"{name}_average"), *extra).withColumn("__k", F.lit(1))
+
+    factor = F.when(F.col("original_groups") > 0, F.round(F.col("split_groups") / F.col("original_groups"), 4)).otherwise(0.0)
+    return one(before, "original").join(one(after, "split"), "__k").drop("__k").withColumn("factor", factor)
+
+
+def exported(members: DataFrame) -> DataFrame:
+    """(group_id, json) of each cluster: its id, size and members' names in order."""
+    return members.groupBy("group_id").agg(F.count(F.lit(1)).alias("size"), F.array_sort(F.collect_list("name")).alias("functions")).select("group_id", F.to_json(F.struct("group_id", "size", "functions")).alias("json"))

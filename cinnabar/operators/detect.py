@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cinnabar.functions import parsing as P
 from cinnabar.functions import text as X
 from cinnabar.sources.scratch import materialize
 
@@ -238,7 +239,27 @@ def feature_overlap_pairs(features: DataFrame, threshold: float = 0.5) -> DataFr
     return scored.where(F.col("similarity_score") > threshold)
 
 
-DETECTORS: dict[str, Callable[..., DataFrame]] = {"exact_match": exact_pairs, "layered": layered_pairs, "simhash": simhash_detector}
+def structural_simhashes(records: DataFrame) -> DataFrame:
+    """(id, simhash) of records with code and name by the weighted features of their syntax trees; 0 where there are none."""
+    known = records.where((F.length("code_content") > 0) & (F.length("function_name") > 0))
+    found = known.select("id", P.analyze("code_content")["features"].alias("f"))
+    return found.select("id", weighted_simhash("f", P.feature_weights(F.col("f")).cast("array<int>")).alias("simhash"))
+
+
+def structural_pairs(records: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """Pairs of classes whose structure is alike enough, with their band."""
+    radius = int((1 - threshold) * BITS + 1e-9)
+    pairs = hamming_pairs(materialize(structural_simhashes(records), "codes"), radius)
+    return pairs.withColumn("band", band(F.col("similarity_score")))
+
+
+def file_pairs(files: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """Pairs of whole files (file_path, code_content) whose words are alike enough; the first path of equal files stands for them."""
+    sets = files.where(F.length("code_content") > 0).select(F.col("file_path").alias("id"), F.explode(words(F.col("code_content"))).alias("feature"))
+    return feature_overlap_pairs(sets, threshold)
+
+
+DETECTORS: dict[str, Callable[..., DataFrame]] = {"exact_match": exact_pairs, "layered": layered_pairs, "simhash": simhash_detector, "structural": structural_pairs}
 
 
 def detect(records: DataFrame, algorithm: str = "exact_match", **options) -> DataFrame:
@@ -288,7 +309,10 @@ def duplicate_summary(groups: DataFrame, total: int | DataFrame, semantic: DataF
     )
 
 
+def band(score: Column) -> Column:
+    return F.when(score >= 0.9, "high").when(score >= 0.7, "medium").otherwise("low")
+
+
 def bands(pairs: DataFrame) -> DataFrame:
     """How many pairs are of high, medium and low confidence."""
-    band = F.when(F.col("similarity_score") >= 0.9, "high").when(F.col("similarity_score") >= 0.7, "medium").otherwise("low")
-    return pairs.groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("n"))
+    return pairs.groupBy(band(F.col("similarity_score")).alias("band")).agg(F.count(F.lit(1)).alias("n"))

@@ -567,3 +567,43 @@ def merged_clusters(spark, d):
 
 
 QUERIES |= {"similarity_clusters": similarity_clusters, "merged_clusters": merged_clusters}
+
+
+@_query(f"""with {UNITS_SQL}, f as (select name, md5(source) as code, file_path as file, start_line as line_number, complexity_score as complexity from u where type = 'function')
+select name, code, file, 'unknown' as category, line_number, complexity from f""")
+def loaded_functions(spark, d):
+    f = cluster.functions_of(P.extract_units(_sources(spark, d)))
+    return f.withColumn("code", F.md5("code"))
+
+
+@_query(f"""with {CATS}, b as (select group_id, count(*) as size from m group by 1), a as (select group_id || '_' || file as g, count(*) as size from m group by 1)
+select (select count(*) from b) as original_groups, (select max(size) from b) as original_largest, (select round(avg(size), 4) from b) as original_average,
+count(*) as split_groups, max(size) as split_largest, round(avg(size), 4) as split_average, count(*) filter (size > 20) as over_20, count(*) filter (size <= 15) as up_to_15,
+round(count(*) / (select count(*) from b), 4) as factor from a""")
+def split_change(spark, d):
+    """Category clusters against the same parted by file."""
+    before = cluster.by_category(_functions(spark, d))
+    return cluster.split_change(before, before.withColumn("group_id", F.concat_ws("_", "group_id", "file")))
+
+
+@_query(f"""with {CATS} select group_id, '{{"group_id":"' || group_id || '","size":' || count(*) || ',"functions":["' || string_agg(name, '","' order by name) || '"]}}' as json from m group by 1""")
+def exported_clusters(spark, d):
+    return cluster.exported(cluster.by_category(_functions(spark, d)))
+
+
+@_query(f"""with t as (select distinct source as id, unnest(list_filter(regexp_split_to_array(lower(text), '[ \\t\\r\\n]+'), lambda x: x <> '')) as f from documents where source is not null), s as (select id, md5(string_agg(f, chr(10) order by f)) as h, count(*) as n from t group by 1),
+n as (select h, n, min(id) as id from s group by 1, 2), r as (select t.id, f, n.n from t join n on t.id = n.id), p as (select a.id as id_a, b.id as id_b, count(*) as common, max(greatest(a.n, b.n)) as most from r a join r b on a.f = b.f and a.id < b.id group by 1, 2)
+select id_a, id_b, common::double / most as similarity_score from p where common::double / most > 0.2""")
+def file_pairs(spark, d):
+    """Sources of documents as files, by all of their words."""
+    each = _table(spark, d, "documents").where("source is not null").select(F.col("source").alias("id"), F.explode(detect.words(F.col("text"))).alias("feature"))
+    return detect.feature_overlap_pairs(each, 0.2)
+
+
+def structural_classes(spark, d):
+    """Sources by the weighted SimHash of their syntax trees; no SQL (SimHash by its definition is tested)."""
+    known = _sources(spark, d).select(F.col("file_path").cast("long").alias("id"), F.col("file_path").alias("function_name"), "code_content")
+    return detect.classes(detect.structural_simhashes(known), "simhash")
+
+
+QUERIES |= {"structural_classes": structural_classes}
