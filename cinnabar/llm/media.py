@@ -159,6 +159,18 @@ def _zip(d: bytes, at: int) -> Found:
     return None
 
 
+def _zip_lengths(d: bytes, ends: list[int]) -> dict[int, int]:
+    """Where each archive with an end record begins, and its length: one look at every end record, however many entries there are."""
+    out: dict[int, int] = {}
+    for p in ends:
+        if p + 22 <= len(d):
+            count, size, offset, comment = struct.unpack_from("<HIIH", d, p + 10)
+            at, end = p - offset - size, p + 22 + comment
+            if at >= 0 and end <= len(d) and (d[at + offset : at + offset + 4] == b"PK\1\2") == (count > 0):
+                out.setdefault(at, end - at)
+    return out
+
+
 def _gzip(d: bytes, at: int) -> Found:
     inflate = zlib.decompressobj(31)
     data = memoryview(d)
@@ -383,6 +395,7 @@ def _items(data: bytes) -> Iterator[tuple[int, int, str, str, bytes]]:
     for last, (n, validator) in automaton().iter(data.decode("latin-1")):
         at = last - n + 1
         hits.append((at - 4 if validator is _mp4 else at, at, validator))
+    archives = _zip_lengths(data, [at for _, at, v in hits if v is _zip and data[at + 2 : at + 4] == b"\5\6"])
     after = 0
     for begin, at, validator in sorted(hits, key=lambda x: x[0]):
         if begin < after:
@@ -398,7 +411,7 @@ def _items(data: bytes) -> Iterator[tuple[int, int, str, str, bytes]]:
                     whole = _decode(said)
                 yield run.start(), len(said), kind, "base64", whole
                 after = run.start() + len(said)
-        elif found := validator(data, at):
+        elif found := ((archives[at], "application/zip") if at in archives else None) if validator is _zip else validator(data, at):
             yield begin, found[0], found[1], "none", data[begin : begin + found[0]]
             if begin:  # nothing is carved inside a part, but within the payload's own item it is
                 after = begin + found[0]

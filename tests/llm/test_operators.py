@@ -475,3 +475,111 @@ def test_near_dedup_over_many_shards_with_a_hot_group(spark):
     got = {r["doc_id"]: r["kept_doc_id"] for r in near_duplicates(d, shard_nodes=64).collect()}
     assert sum(got.get(100 + c) == 0 for c in range(1500)) >= 0.99 * 1500
     assert not any(i in got for i in range(60))
+
+
+def _box(kind, data=b""):
+    return struct.pack(">I", 8 + len(data)) + kind + data
+
+
+def _riff(kind, *chunks):
+    body = kind + b"".join(k + struct.pack("<I", len(x)) + x + b"\0" * (len(x) % 2) for k, x in chunks)
+    return b"RIFF" + struct.pack("<I", len(body)) + body
+
+
+def _ogg(flags, data):
+    return b"OggS\0" + bytes([flags]) + b"\0" * 8 + b"ABCD" + b"\0" * 8 + bytes([1, len(data)]) + data
+
+
+def _tiff(order):
+    e = "<" if order == b"II" else ">"
+    tags = [(256, 3, 1), (257, 3, 1), (273, 4, 64), (279, 4, 5)]
+    entries = b"".join(struct.pack(e + "HHI", t, k, 1) + (struct.pack(e + "HH", v, 0) if k == 3 else struct.pack(e + "I", v)) for t, k, v in tags)
+    ifd = struct.pack(e + "H", len(tags)) + entries + struct.pack(e + "I", 0)
+    head = order + struct.pack(e + "HI", 42, 8)
+    return (head + ifd).ljust(64, b"\0") + b"pixel"
+
+
+def _webm(kind):
+    doc = b"\x42\x82" + bytes([0x80 | len(kind)]) + kind
+    return b"\x1a\x45\xdf\xa3" + bytes([0x80 | len(doc)]) + doc + b"\x18\x53\x80\x67" + b"\x83abc"
+
+
+MORE = {
+    "image/webp": _riff(b"WEBP", (b"VP8L", b"abc")),
+    "video/x-msvideo": _riff(b"AVI ", (b"LIST", b"hdrl")),
+    "audio/ogg": _ogg(2, b"one") + _ogg(4, b"two"),
+    "audio/flac": b"fLaC" + bytes([0x80, 0, 0, 34]) + b"\0" * 34 + b"\xff\xf8frames",
+    "audio/mpeg": b"ID3\4\0\0\0\0\0\2xx" + (b"\xff\xfb\x90\x00" + b"\0" * 413) * 3,
+    "image/tiff": _tiff(b"II"),
+    "video/webm": _webm(b"webm"),
+    "video/x-matroska": _webm(b"matroska"),
+    "video/quicktime": _box(b"ftyp", b"qt  \0\0\0\0") + _box(b"moov"),
+    "image/heic": _box(b"ftyp", b"heic\0\0\0\0") + _box(b"meta", b"1234"),
+}
+
+
+@pytest.mark.parametrize("kind", sorted(MORE))
+def test_more_media_validators(kind):
+    data = MORE[kind]
+    assert M.sniff(data)[0] == kind
+    if kind == "image/tiff":
+        assert M.sniff(_tiff(b"MM"))[0] == kind
+    if kind != "audio/flac":  # has no length of its own
+        found = M.sniff(b"some text " + data + b" more \xff text")[1]
+        assert (10, len(data), kind) in [(o, n, t) for o, n, t, _, _ in found]
+    assert not any(t == kind for _, _, t, _, _ in M.sniff(b"text " + data[:-1])[1]) or kind in ("audio/flac",)
+
+
+def test_magic_places_by_a_naive_scan():
+    rng = random.Random(4)
+    parts = [png(), zipped(), RIFF, GIF, BMP, PDF, MP4, *MORE.values()]
+    data = b"".join(rng.choice(parts) + bytes(rng.randrange(256) for _ in range(rng.randrange(40))) for _ in range(40))
+    naive = sorted((k, m) for m, _ in M.SIGNATURES for k in range(len(data) - len(m) + 1) if data[k : k + len(m)] == m)
+    said = [(last - n + 1, data[last - n + 1 : last + 1]) for last, (n, v) in M.automaton().iter(data.decode("latin-1")) if v is not None]
+    assert sorted(said) == naive
+
+
+def test_a_large_archive_is_looked_at_once():
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for k in range(4000):
+            z.writestr(f"f{k}", "x")
+    data = out.getvalue()
+    kind, parts = M.sniff(data)
+    assert kind == "application/zip" and parts == []
+    assert [(o, n, t) for o, n, t, _, _ in M.sniff(b"ab" + data + zipped())[1]] == [(2, len(data), "application/zip"), (2 + len(data), len(zipped()), "application/zip")]
+
+
+def test_packing_index_recall_against_words(spark):
+    """The neighbours of every 50th document in several shards' indexes against BM25 on words themselves."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text is not null").select("doc_id", "text").orderBy("doc_id").collect()
+    bags = [Counter(r["text"].encode().split()) for r in rows]
+    size = np.array([sum(b.values()) for b in bags])
+    column = pa.array([r["text"] for r in rows])
+    df, terms, counts = np.zeros(1 << PK.TERM_BITS, np.int64), [], []
+    for _, _, at, t, c in PK.term_counts(column, None, PK.TERM_BITS):
+        np.add.at(df, t, 1)
+        order = np.searchsorted(at, np.arange(at.max() + 2))
+        terms += [t[s:e].astype(np.int32) for s, e in zip(order[:-1], order[1:], strict=True)]
+        counts += [c[s:e].astype(np.int32) for s, e in zip(order[:-1], order[1:], strict=True)]
+    assert len(terms) == len(rows)
+    stats = PK.Statistics(len(rows), int(size.sum()), df)
+    number = np.empty(len(rows), np.int64)
+    number[np.argsort(-size, kind="stable")] = np.arange(len(rows))
+    asked = [k for k, r in enumerate(rows) if r["doc_id"] % 50 == 0]
+    lists = np.full((len(asked), PK._CUTS[-1]), -1, np.int64)
+    for s in range(5):
+        own = np.flatnonzero(number % 5 == s)
+        made = PK.Index.build(number[own], size[own], np.array([len(terms[k]) for k in own]), np.concatenate([terms[k] for k in own]), np.concatenate([counts[k] for k in own]), stats)
+        made = made.unused(np.zeros(len(rows), bool))
+        made.prepare()
+        made.search([terms[k] for k in asked], np.full(len(asked), int(size.max())), lists)
+    often = Counter(w for b in bags for w in b)
+    hit = total = 0
+    for q, keys in zip(asked, lists, strict=True):
+        score = lambda b, k: sum(np.log1p((len(rows) - often[w] + 0.5) / (often[w] + 0.5)) * b[w] * 2.2 / (b[w] + 1.2 * (0.25 + 0.75 * size[k] / stats.mean)) for w in bags[q] if w in b)  # noqa: B023, E731
+        best = sorted(((score(b, k), k) for k, b in enumerate(bags) if k != q), reverse=True)[:10]
+        said = [int(np.flatnonzero(number == PK._LOW - (x & PK._LOW))[0]) for x in np.sort(keys[:128][keys[:128] >= 0])[::-1]]
+        hit += len({k for _, k in best} & set([k for k in said if k != q][:10]))
+        total += len(best)
+    assert hit >= 0.9 * total
