@@ -4,12 +4,12 @@ An entry is a host, or a host and a path.  A host entry also covers its subdomai
 exact host, below that path, segment by segment.  Of all entries on a URL's way through the trie the longest decides;
 where the same entry is both allowed and blocked, block wins.
 
-Entries are broadcast as a trie while there are at most `broadcast_limit` of them; a larger list is joined on the
-exploded prefixes of each URL instead, with the same rows.
+Entries are broadcast as a trie while there are at most `broadcast_limit` of them, of `broadcast_bytes` in all, as counted
+first; a larger list is joined on the exploded prefixes of each URL instead, with the same rows.
 
 Defined cases
 * Scheme, user, port, query and fragment play no part; the host's case doesn't count, a final dot is dropped, empty path segments
-  are skipped.  "//" and a scheme may be missing.
+  are skipped.  "//" and a scheme may be missing.  Percent-encoded and punycode text is compared as it stands.
 * A null URL or one without a host matches nothing: depth 0, entry null, decision = default.
 * Repeated URLs and entries are judged alike; empty tables and empty lists work.  Other columns pass through; columns
   named decision, entry and depth are replaced.
@@ -64,16 +64,16 @@ def longest(trie: dict, keys: list[str]) -> tuple[str | None, str | None, int]:
     return best
 
 
-def url_filter(pages: DataFrame, entries: DataFrame, url_col: str = "url", default: str = "allow", broadcast_limit: int = 1_000_000) -> DataFrame:
+def url_filter(pages: DataFrame, entries: DataFrame, url_col: str = "url", default: str = "allow", broadcast_limit: int = 1_000_000, broadcast_bytes: int = 1 << 26) -> DataFrame:
     """pages with decision, entry and depth.  entries: columns entry (host or host/path) and action (allow or block)."""
     spark = pages.sparkSession
     rules = entries.select(F.array_join(way(F.col("entry")), STEP).alias("k"), F.lower("action").alias("a"), F.col("entry").alias("e"))
     rules = rules.where(F.col("k").isNotNull() & F.col("a").isin("allow", "block"))
     names = [c for c in pages.columns if c.lower() not in RESULT.names]
     rows = pages.select(F.struct(*[pages[f"`{c}`"] for c in names]).alias("__row"), way(pages[f"`{url_col}`"]).alias("__way"))
-    listed = rules.limit(broadcast_limit + 1).collect()
-    if len(listed) <= broadcast_limit:
-        trie = spark.sparkContext.broadcast(build_trie((r.k.split(STEP), r.a, r.e) for r in listed))
+    size = rules.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("k") + F.octet_length("e")), F.lit(0)).alias("bytes")).first()
+    if size["n"] <= broadcast_limit and size["bytes"] <= broadcast_bytes:
+        trie = spark.sparkContext.broadcast(build_trie((r.k.split(STEP), r.a, r.e) for r in rules.collect()))
 
         @F.pandas_udf(RESULT)
         def judge(ways: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
