@@ -16,6 +16,9 @@ from cinnabar.plans import analysis
 from cinnabar.sources import store
 
 
+ALGORITHMS = ["simhash", "exact_match"]
+
+
 def _session() -> SparkSession:
     return SparkSession.builder.appName("cinnabar").getOrCreate()
 
@@ -67,17 +70,18 @@ def patterns(spark: SparkSession | None, args: argparse.Namespace, say: Callable
 def parser() -> argparse.ArgumentParser:
     made = argparse.ArgumentParser(prog="cinnabar", description="Duplicates, similar code and clusters of functions")
     commands = made.add_subparsers(dest="command", required=True)
+    here = {"nargs": "?", "default": "."}
     one = commands.add_parser("check", help="analyse the Python files below a path")
-    one.add_argument("path", nargs="?", default=".")
+    one.add_argument("path", **here)
     one.add_argument("--max-files", type=int, default=None)
     two = commands.add_parser("similar", help="find code like a given one")
     two.add_argument("code")
-    two.add_argument("--algorithm", default="simhash", choices=["simhash", "exact_match"])
+    two.add_argument("--algorithm", choices=ALGORITHMS, default=ALGORITHMS[0])
     two.add_argument("--in", dest="path", default=".")
     two.add_argument("--threshold", type=float, default=0.7)
     two.add_argument("--most", type=int, default=100)
     three = commands.add_parser("patterns", help="list the patterns of paths that are left out")
-    three.add_argument("path", nargs="?", default=".")
+    three.add_argument("path", **here)
     return made
 
 

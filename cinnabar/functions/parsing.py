@@ -35,13 +35,14 @@ def _parse(source: str) -> ast.Module | str:
         return str(e) or type(e).__name__
 
 
+_DEFINED = {ast.ClassDef, ast.FunctionDef}
+_BRANCHES = {ast.ExceptHandler, ast.For, ast.If, ast.While}
+
+
 def _complexity(node: ast.AST) -> int:
-    found = 1
-    for x in ast.walk(node):
-        found += isinstance(x, (ast.If, ast.While, ast.For, ast.ExceptHandler))
-        if isinstance(x, ast.BoolOp):
-            found += len(x.values) - 1
-    return found
+    """One more than the branches, and each further operand of "and" and "or"."""
+    every = list(ast.walk(node))
+    return 1 + sum(type(x) in _BRANCHES for x in every) + sum(len(x.values) - 1 for x in every if type(x) is ast.BoolOp)
 
 
 def unit_source(lines: list[str], first: int, last: int) -> str:
@@ -54,7 +55,7 @@ def unit_source(lines: list[str], first: int, last: int) -> str:
 def _units(tree: ast.Module, source: str) -> Iterator[tuple]:
     lines = source.splitlines()
     for node in ast.walk(tree):
-        if isinstance(node, (ast.FunctionDef, ast.ClassDef)):
+        if type(node) in _DEFINED:
             own = unit_source(lines, node.lineno, node.end_lineno)
             said, complexity, needs = K.structure(node)
             kind = "class" if isinstance(node, ast.ClassDef) else "function"
@@ -148,7 +149,7 @@ def structure(source: str | None) -> dict:
             out["control_flow"].append(kinds[type(x)])
         open_nodes += [(y, in_class, in_def, depth) for y in reversed(list(ast.iter_child_nodes(x)))]
     for x in ast.walk(tree):
-        if isinstance(x, (ast.FunctionDef, ast.ClassDef)):
+        if type(x) in _DEFINED:
             out["classes" if isinstance(x, ast.ClassDef) else "functions"].append(x.name)
     found = {"nesting_depth": deepest, "loc": sum(bool(x.strip()) for x in (source or "").split("\n")), "complexity": _complexity(tree)}
     return out | found | {"features": features(source or "", tree)}
@@ -176,7 +177,7 @@ def normalize(code: pd.Series) -> pd.Series:
     return code.map(one)
 
 
-_COUNTED = (ast.Assign, ast.AugAssign, ast.If, ast.For, ast.While, ast.Try, ast.With, ast.Raise, ast.Assert)
+_COUNTED = tuple(getattr(ast, x) for x in "Assert Raise With Try While For If AugAssign Assign".split())
 _RETURNED = {ast.Name: "name", ast.Attribute: "attribute", ast.Constant: "constant"}
 _MODELS = {"NamedTuple", "TypedDict", "BaseModel"}
 

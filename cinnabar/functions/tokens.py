@@ -53,7 +53,7 @@ def annotation(node: ast.AST) -> str:
 
 def coarse(node: ast.AST) -> str:
     """An operand's kind."""
-    if isinstance(node, ast.Constant):
+    if type(node) is ast.Constant:
         return type(node.value).__name__
     kinds = {ast.Name: "var", ast.Call: "call", ast.List: "list", ast.Dict: "dict", ast.BinOp: "binop"}
     return kinds.get(type(node), "expr")

@@ -333,7 +333,8 @@ def split_rules(samples: list[tuple[str, str]], factory: Factory, most: int = 3)
             pattern, reasoning, _, _ = split_pattern(samples, factory)
         except Exception:  # noqa: BLE001, S112
             continue
-        rules.setdefault(pattern, f"Rule {len(rules) + 1}: {reasoning}")
+        number = len(rules) + 1
+        rules.setdefault(pattern, f"Rule {number}: {reasoning}")
     return list(rules.items())
 
 
@@ -368,3 +369,8 @@ def involving(pairs: DataFrame, record: int) -> tuple[DataFrame, Column]:
 
 def unsplittable(group: str, attempts: int) -> AnalysisError:
     return AnalysisError(f"group {group} can't be split after {attempts} attempts")
+
+
+def intent_tree_status() -> dict[str, object]:
+    """Of the optional explorer of intents, its sessions and learning statistics: there is no backend for it."""
+    return {"available": False, "sessions": 0, "features": 0, "message": "unavailable"}

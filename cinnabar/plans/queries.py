@@ -492,7 +492,7 @@ def semantic_pairs(spark, d):
     return judge.semantic(pairs, judge.rule_judge).select("id_a", "id_b", "semantic_similarity", "is_duplicate")
 
 
-@_query(f"""with {JUDGED_SQL}, g as (select split_part(name, '_', 1) as group_id, lower(regexp_replace(code, '[a-zA-Z_][a-zA-Z0-9_]*', 'VAR', 'g')) as norm, id from k),
+@_query(f"""with {JUDGED_SQL}, g as (select split_part(name, '_', 1) as group_id, lower(regexp_replace(code, '[A-Za-z_][0-9A-Za-z_]*', 'VAR', 'g')) as norm, id from k),
 f as (select group_id, norm, min(id) as id_a from g group by 1, 2)
 select group_id, id_a, id as id_b, 1.0::double as similarity_score from g join f using (group_id, norm) where id > id_a""")
 def group_duplicates(spark, d):
