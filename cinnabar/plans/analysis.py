@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from cinnabar.functions import text as X
 from cinnabar.functions.parsing import extract_units
 from cinnabar.operators import detect, ignore, rules
-from cinnabar.sources.store import discover
+from cinnabar.sources.store import discover, insert_or_ignore
 
 
 @dataclass
@@ -23,6 +23,8 @@ class Config:
     ignore: frozenset[str] = ignore.DEFAULTS
     include_tests: bool = False
     root: str | None = None
+    #: A record table: new contents are added to it, and all that it holds is analysed.
+    table: str | None = None
 
 
 def records(units: DataFrame) -> DataFrame:
@@ -39,7 +41,11 @@ def check(spark: SparkSession, path: str, config: Config = Config()) -> dict[str
     below = X.relative(F.regexp_replace("file_path", "^file:/*", "/"), config.root or os.path.abspath(path))
     ignored = ignore.is_ignored(below, config.ignore, tests=not config.include_tests)
     files = discover(spark, path, max_files=config.max_files).where(~ignored & (F.btrim("code_content") != ""))
-    found = records(extract_units(files)).withColumn("rule_applied", rules.first_match(F.col("function_name"), config.patterns))
+    every = records(extract_units(files))
+    if config.table is not None:
+        insert_or_ignore(spark, every, config.table)
+        every = spark.read.parquet(config.table)
+    found = every.withColumn("rule_applied", rules.first_match(F.col("function_name"), config.patterns))
     return {
         "records": found, "pairs": detect.detect(found, config.algorithm, **config.options),
         "summary": detect.duplicate_summary(detect.exact_duplicates(found), found), "types": found.groupBy("type").count(),

@@ -136,6 +136,9 @@ def test_store_and_check(spark, tmp_path):
     got = analysis.check(spark, str(src), analysis.Config(patterns=["^one$"]))
     assert got["records"].count() == 3 and got["pairs"].count() == 1
     assert got["records"].where("rule_applied = '^one$'").count() == 2 and got["summary"].first()["duplicates"] == 1
+    for _ in range(2):  # a table holds each content once, however often it is seen
+        kept = analysis.check(spark, str(src), analysis.Config(table=str(tmp_path / "records")))
+        assert kept["records"].count() == 2 and kept["pairs"].count() == 0
 
 
 def test_stream_of_files(spark, tmp_path):
