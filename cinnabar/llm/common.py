@@ -2,14 +2,24 @@
 
 from __future__ import annotations
 
+import ctypes
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cinnabar.sources.scratch import discard, materialize, shared_dir
 
-__all__ = ["discard", "key_columns", "materialize", "shared_dir", "table", "whole_id"]
+__all__ = ["discard", "give_back", "key_columns", "materialize", "shared_dir", "table", "whole_id"]
+
+
+def give_back() -> None:
+    """Freed memory of a worker that lives on goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def whole_id(c: str | Column) -> Column:

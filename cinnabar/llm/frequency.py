@@ -1,6 +1,6 @@
 """Document frequencies over a whole corpus, in a table of fixed size.
 
-A term is a word hashed to one of SLOTS numbers, so what reaches the driver and is broadcast doesn't grow with the corpus;
+A term is a word hashed to one of 2^bits numbers (SLOTS, unless asked for), so what reaches the driver and is broadcast doesn't grow with the corpus;
 words that share a slot share its frequency.
 
 Defined cases: a null or wordless text counts for nothing; an empty table gives 0 documents, and every term the idf of
@@ -22,7 +22,7 @@ SLOT_BITS = 20
 SLOTS = 1 << SLOT_BITS
 
 
-def term_counts(column: pa.Array, window: int | None) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def term_counts(column: pa.Array, window: int | None, bits: int = SLOT_BITS) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """For groups of texts: the first row, each text's words, and the (row, term, count) of the words past its whole windows."""
     raw, offs = utf8(column)
     for i, j in groups(offs):
@@ -33,9 +33,9 @@ def term_counts(column: pa.Array, window: int | None) -> Iterator[tuple[int, np.
             first = np.cumsum(words) - words
             rest = np.arange(len(rows)) - first[rows] >= (words // window * window)[rows]
             starts, ends, rows = starts[rest], ends[rest], rows[rest]
-        both = (rows.astype(np.int64) << SLOT_BITS) | (span_hashes(part, starts, ends) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        both = (rows.astype(np.int64) << bits) | (span_hashes(part, starts, ends) >> np.uint64(64 - bits)).astype(np.int64)
         one, counts = np.unique(both, return_counts=True)
-        yield i, words, one >> SLOT_BITS, one & (SLOTS - 1), counts
+        yield i, words, one >> bits, one & ((1 << bits) - 1), counts
 
 
 class Statistics:
@@ -46,14 +46,14 @@ class Statistics:
         self.idf = np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32)
 
 
-def statistics(docs: DataFrame, text_col: str = "text") -> Statistics:
-    """Only SLOTS numbers reach the driver, whatever the corpus."""
+def statistics(docs: DataFrame, text_col: str = "text", bits: int = SLOT_BITS) -> Statistics:
+    """Only 2^bits numbers reach the driver, whatever the corpus."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, n, total = np.zeros(SLOTS, np.int64), 0, 0
+        df, n, total = np.zeros(1 << bits, np.int64), 0, 0
         for b in batches:
-            for _, words, _, terms, _ in term_counts(b.column(0), None):
-                df += np.bincount(terms, minlength=SLOTS)
+            for _, words, _, terms, _ in term_counts(b.column(0), None, bits):
+                np.add.at(df, terms, 1)
                 n += int((words > 0).sum())
                 total += int(words.sum())
         seen = np.flatnonzero(df)
@@ -62,7 +62,7 @@ def statistics(docs: DataFrame, text_col: str = "text") -> Statistics:
     got = docs.select(F.col(text_col)).mapInArrow(count, "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
     k, n = got.column("k").to_numpy(), got.column("n").to_numpy()
     at = dict(zip(k[k < 0].tolist(), n[k < 0].tolist(), strict=True))
-    df = np.zeros(SLOTS)
+    df = np.zeros(1 << bits)
     df[k[k >= 0]] = n[k >= 0]
     return Statistics(at.get(-2, 0), at.get(-1, 0), df)
 

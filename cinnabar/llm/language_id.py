@@ -36,7 +36,7 @@ DIM = 1024
 SEED = 20
 #: Bits of a letter in a trigram's key.
 LETTER_BITS = 21
-#: Trigram vectors kept at a time by a worker (4 KB each).
+#: Trigram vectors kept at a time by a worker (1 KB each).
 KEPT = 40_000
 RESULT = [("language", T.StringType()), ("similarity", T.DoubleType()), ("accepted", T.BooleanType())]
 
@@ -67,7 +67,7 @@ class Profiles:
 
     def _reset(self) -> None:
         self.keys, self.at = np.empty(0, np.int64), np.empty(0, np.int64)
-        self.vectors, self.n = np.empty((4096, DIM), np.float32), 0
+        self.vectors, self.n = np.empty((4096, DIM), np.int8), 0
 
     def letters(self, points: np.ndarray) -> np.ndarray:
         """0 or the lower-case letter of each code point."""
@@ -90,7 +90,7 @@ class Profiles:
                 known[:] = False
             new = ids[~known]
             while self.n + len(new) > len(self.vectors):
-                self.vectors = np.concatenate([self.vectors, np.empty_like(self.vectors)])
+                self.vectors = np.concatenate([self.vectors, np.empty((min(len(self.vectors), KEPT - len(self.vectors)), DIM), np.int8)])
             mask = (1 << LETTER_BITS) - 1
             a, b, c = (letter_vectors((new >> (k * LETTER_BITS)) & mask) for k in (2, 1, 0))
             self.vectors[self.n : self.n + len(new)] = np.roll(a, 2, axis=1) * np.roll(b, 1, axis=1) * c
@@ -121,7 +121,7 @@ class Profiles:
                 total = np.zeros(DIM, np.float32)
                 for k in range(0, len(ids), KEPT // 2):
                     at_rows = self.rows(ids[k : k + KEPT // 2])
-                    total += counts[k : k + KEPT // 2].astype(np.float32) @ self.vectors[at_rows]
+                    total += counts[k : k + KEPT // 2].astype(np.float32) @ self.vectors[at_rows].astype(np.float32)
                 yield total, len(grams)
 
 

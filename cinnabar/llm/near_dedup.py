@@ -11,7 +11,8 @@
    verified.  A shard of more than `graph_nodes` nodes holds several graphs, and all of its queries go to each.
 4. The edges are united; the smallest id of a component stays.
 5. The recall is audited: `audit` nodes, chosen by hash, are compared with all nodes exactly.  If fewer than `recall`
-   of their true pairs are in one group, the search is repeated with beams twice as wide and twice the tables; beyond beams of 1,024 a warning says so.
+   of their true pairs are in one group, the search is repeated with beams twice as wide and twice the tables; beyond beams of 1,024
+   or MOST_KEYS routing words a warning says so.
 
 Defined cases
 * A null id, and a null or wordless text, is no one's copy and stays.
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cinnabar.llm.common import discard, materialize, whole_id
+from cinnabar.llm.common import discard, give_back, materialize, whole_id
 from cinnabar.llm.frequency import Statistics, preference, statistics
 from cinnabar.llm.graph import roots
 from cinnabar.llm.simhash import WORDS, emit
@@ -40,6 +41,8 @@ from cinnabar.llm.small_world import SmallWorld, components, exact_within
 RADIUS = 52
 #: Weight of a word in routing: idf to this power; and how likely near copies share the least word.
 POWER, TOGETHER = 2, 0.75
+#: Routing words beyond which no more tables are tried: each broadcasts an order of all terms (4 MB).
+MOST_KEYS = 32
 CODE = [f"c{w}" for w in range(WORDS)]
 
 
@@ -79,8 +82,10 @@ def edges(nodes: DataFrame, shards: int, words: int, tables: int, radius: int, b
             linked = lambda query, node: root[query] == root[node + start]  # noqa: B023, E731
             for query, node, _ in world.within(all_codes, radius, beam, linked):
                 root = components(root, query, node + start)
-        linked = root != np.arange(len(ids))
-        return pa.table({"a": ids[linked], "b": ids[root[linked]]})
+        found = root != np.arange(len(ids))
+        edge = pa.table({"a": ids[found], "b": ids[root[found]]})
+        give_back()
+        return edge
 
     return placed.groupBy("tab", "shard").applyInArrow(search, "a long, b long")
 
@@ -123,7 +128,7 @@ def near_duplicates(
         true, united = audited(nodes, root, radius, audit)
         if united >= recall * true:
             break
-        if beam > 1024:
+        if beam > 1024 or tables * words > MOST_KEYS:
             warnings.warn(f"the audit found {united} of {true} pairs with beams of {beam} and {tables} tables", stacklevel=2)
             break
         discard(root)
