@@ -583,3 +583,19 @@ def test_packing_index_recall_against_words(spark):
         hit += len({k for _, k in best} & set([k for k in said if k != q][:10]))
         total += len(best)
     assert hit >= 0.9 * total
+
+
+def test_a_rounds_seeds_dont_shrink_with_the_shards(spark, monkeypatch):
+    class Asked(Exception):
+        pass
+
+    def nearest(index, queries, left, used):
+        raise Asked(len(queries))
+
+    cores = spark.sparkContext.defaultParallelism
+    for name, value in (("nearest", nearest), ("seed_terms", lambda terms, seeds: {k: None for k in seeds}), ("LEAST_SEEDS", 4), ("ROUND_PART", 2), ("ROUND_BYTES", 64 * 2 * cores * PK._CUTS[-1] * 8)):
+        monkeypatch.setattr(PK, name, value)
+    index = spark.range(0, 1000, 1, 16 * cores)  # a partition for each shard
+    with pytest.raises(Asked) as asked:
+        PK.greedy(index, index, np.full(1000, 5), 10)
+    assert asked.value.args == (64,)
