@@ -38,7 +38,8 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 WINDOW, MASK, MOST = 16, (1 << 8) - 1, 2048
 #: Pieces whose ids a worker remembers.
 KNOWN = 400_000
-SCHEMA = "key string, kind string, doc_id long, n_ids long, parts array<string>, root string, payload binary"
+#: A store as it is shuffled and kept, digests as bytes: the key of a chunk is its digest, that of a recipe its id, a colon and its root.
+SCHEMA = "key binary, doc_id long, n_ids long, parts binary, payload binary"
 
 
 class Encoder:
@@ -178,8 +179,8 @@ def encoder(vocabulary: str) -> Encoder:
     return _encoders[vocabulary]
 
 
-def chunk_store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
-    """The store of a table of documents."""
+def _bytes(docs: DataFrame, id_col: str, text_col: str, vocabulary: str) -> DataFrame:
+    """The store of a table of documents, of SCHEMA."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(vocabulary)
@@ -200,23 +201,40 @@ def chunk_store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                         parts.append(digest)
                         if digest not in sent:
                             sent.add(digest)
-                            rows.append((digest.hex(), "chunk", None, end - at, None, None, piece.tobytes()))
+                            rows.append((digest, None, end - at, None, piece.tobytes()))
                         at = end
-                    root = merkle_root(parts).hex()
-                    rows.append((f"{doc}:{root}", "recipe", doc, n, [x.hex() for x in parts], root, None))
+                    rows.append((f"{doc}:".encode() + merkle_root(parts), doc, n, b"".join(parts), None))
                     begin += n
                 if len(sent) > 500_000:
                     sent.clear()
-                key, kind, doc_id, size, part, root, payload = map(list, zip(*rows, strict=True))
+                key, doc_id, size, part, payload = map(list, zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key), pa.array(kind), pa.array(doc_id, pa.int64()), pa.array(size, pa.int64()), pa.array(part, pa.list_(pa.string())), pa.array(root, pa.string()), pa.array(payload, pa.binary())],
-                    names=["key", "kind", "doc_id", "n_ids", "parts", "root", "payload"],
+                    [pa.array(key, pa.binary()), pa.array(doc_id, pa.int64()), pa.array(size, pa.int64()), pa.array(part, pa.binary()), pa.array(payload, pa.binary())],
+                    names=["key", "doc_id", "n_ids", "parts", "payload"],
                 )
 
     made = docs.select(whole_id(id_col).alias("d"), F.col(text_col).alias("t")).mapInArrow(run, SCHEMA)
     return made.dropDuplicates(["key"])
 
 
+def _readable(made: DataFrame) -> DataFrame:
+    """The store with its digests in hex."""
+    digest = lambda x: F.lower(F.hex(x))
+    recipe = F.col("parts").isNotNull()
+    each = F.transform(F.sequence(F.lit(1), F.octet_length("parts") - 31, F.lit(32)), lambda at: digest(F.substring(F.col("parts"), at, F.lit(32))))
+    root = F.when(recipe, digest(F.substring("key", -32, 32)))
+    return made.select(
+        F.when(recipe, F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("None")), F.lit(":"), root)).otherwise(digest("key")).alias("key"),
+        F.when(recipe, "recipe").otherwise("chunk").alias("kind"), "doc_id", "n_ids",
+        F.when(F.octet_length("parts") > 0, each).when(recipe, F.array().cast("array<string>")).alias("parts"), root.alias("root"), "payload",
+    )
+
+
+def chunk_store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
+    """The store of a table of documents."""
+    return _readable(_bytes(docs, id_col, text_col, vocabulary))
+
+
 def reconstruct(store: DataFrame) -> DataFrame:
     """(doc_id, root, n_ids, ids, sound): every document's ids from the store; sound: all digests, the root and the length agree."""
     chunks = store.where("kind = 'chunk'").select(F.col("key").alias("part"), "payload", (F.sha2("payload", 256) == F.col("key")).alias("good"))
@@ -258,7 +276,7 @@ def manifest(store: DataFrame, digits: int = 6) -> DataFrame:
 
 def chunk_store_with_manifest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """The store of a table of documents, and its manifest."""
-    store = materialize(chunk_store(docs, id_col, text_col, vocabulary), "store")
+    store = _readable(materialize(_bytes(docs, id_col, text_col, vocabulary), "store"))
     return store.unionByName(manifest(store))
 
 

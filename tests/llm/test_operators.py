@@ -599,3 +599,19 @@ def test_a_rounds_seeds_dont_shrink_with_the_shards(spark, monkeypatch):
     with pytest.raises(Asked) as asked:
         PK.greedy(index, index, np.full(1000, 5), 10)
     assert asked.value.args == (64,)
+
+
+def test_a_store_keeps_digests_as_bytes_until_it_is_given_out(spark, monkeypatch):
+    d = table(spark, "documents").select("doc_id", "text").unionByName(docs(spark, [(None, "x y", "en", "s", 1), (None, None, "en", "s", 1), (9000, "", "en", "s", 1)]).select("doc_id", "text"))
+    kept, whole = [], CS.materialize
+    monkeypatch.setattr(CS, "materialize", lambda df, name: kept.append(whole(df, name)) or kept[-1])
+    store = CS.chunk_store_with_manifest(d).where("kind != 'manifest'").collect()
+    size = lambda x: sum(map(size, x)) if isinstance(x, list) else len(x) if isinstance(x, (str, bytes, bytearray)) else 0
+    digests = sum(1 if r["kind"] == "chunk" else 1 + len(r["parts"]) for r in store)
+    assert sum(size(list(r)) for r in kept[0].collect()) <= 32 * digests + sum(len(r["payload"] or b"") + len(f"{r['doc_id']}:") for r in store)
+    for r in store:
+        if r["kind"] == "chunk":
+            assert r["key"] == hashlib.sha256(r["payload"]).hexdigest() and (r["doc_id"], r["parts"], r["root"]) == (None, None, None)
+        else:
+            assert r["key"] == f"{r['doc_id']}:{r['root']}" and r["root"] == CS.merkle_root([bytes.fromhex(x) for x in r["parts"]]).hex() and r["payload"] is None
+    assert Counter(len(r["parts"]) for r in store if r["kind"] == "recipe" and not r["n_ids"]) == {0: 2}
