@@ -5,6 +5,7 @@ import hashlib
 import io
 import random
 import struct
+import tracemalloc
 import zipfile
 import zlib
 from collections import Counter, defaultdict
@@ -615,3 +616,35 @@ def test_a_store_keeps_digests_as_bytes_until_it_is_given_out(spark, monkeypatch
         else:
             assert r["key"] == f"{r['doc_id']}:{r['root']}" and r["root"] == CS.merkle_root([bytes.fromhex(x) for x in r["parts"]]).hex() and r["payload"] is None
     assert Counter(len(r["parts"]) for r in store if r["kind"] == "recipe" and not r["n_ids"]) == {0: 2}
+
+
+def test_taking_used_items_out_of_an_index_needs_little_memory():
+    rng = np.random.default_rng(3)
+    items, terms, each = 2000, 1000, 4000
+    place = np.sort(rng.integers(0, items, (terms, each)), axis=1).astype(np.int32).ravel()
+    weight = rng.integers(1, 1 << PK.WEIGHT_BITS, len(place)).astype(np.int32)
+    made = PK.Index(np.arange(items), np.full(items, 9), (place << PK.WEIGHT_BITS) | weight, np.arange(terms), np.arange(terms + 1) * each)
+    used = rng.random(items) < 0.3
+    used[place[:each]] = True  # a term that no one holds any more
+    tracemalloc.start()
+    left = made.unused(used)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 3 * made.packed.nbytes
+    keep, now = ~used[place], np.cumsum(~used) - 1
+    sizes = np.diff(left.ends)
+    assert 0 not in left.known and np.array_equal(np.repeat(left.known, sizes), np.repeat(np.arange(terms), each)[keep])
+    assert np.array_equal(left.packed >> PK.WEIGHT_BITS, now[place[keep]]) and np.array_equal(left.packed & ((1 << PK.WEIGHT_BITS) - 1), weight[keep])
+
+
+def test_stored_indexes_have_small_cells_and_come_back_whole(monkeypatch):
+    monkeypatch.setattr(PK, "PIECE", 1000)
+    rng = np.random.default_rng(4)
+    made = [PK.Index(np.arange(n), np.full(n, 9), rng.integers(0, 1 << 20, 10 * n).astype(np.int32), np.arange(n), np.arange(n + 1) * 10) for n in (300, 1, 70)]
+    rows = [b for m in made for b in PK._rows(m)]
+    assert len(rows) > 10 and all(b.num_rows == 1 and len(b.column("piece")[0].as_py()) <= 1000 for b in rows)
+    for m, back in zip(made, PK._loaded(iter(rows)), strict=True):
+        assert all(np.array_equal(getattr(m, c), getattr(back, c)) for c in PK._INDEX)
+    for broken in (rows[:-1], rows[1:]):
+        with pytest.raises(ValueError):
+            list(PK._loaded(iter(broken)))
