@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cinnabar.llm.common import whole_id
+from cinnabar.llm.common import give_back, whole_id
 from cinnabar.llm.textkern import U64, groups, mix64, utf8
 
 DIM = 1024
@@ -38,6 +38,8 @@ SEED = 20
 LETTER_BITS = 21
 #: Trigram vectors kept at a time by a worker (1 KB each).
 KEPT = 40_000
+#: Trigrams of a text that are summed at a time (5 KB each).
+STEP = 1 << 12
 RESULT = [("language", T.StringType()), ("similarity", T.DoubleType()), ("accepted", T.BooleanType())]
 
 
@@ -119,9 +121,9 @@ class Profiles:
                 grams = (((x[:-2] << LETTER_BITS) | x[1:-1]) << LETTER_BITS) | x[2:]
                 ids, counts = np.unique(grams, return_counts=True)
                 total = np.zeros(DIM, np.float32)
-                for k in range(0, len(ids), KEPT // 2):
-                    at_rows = self.rows(ids[k : k + KEPT // 2])
-                    total += counts[k : k + KEPT // 2].astype(np.float32) @ self.vectors[at_rows].astype(np.float32)
+                for k in range(0, len(ids), STEP):
+                    at_rows = self.rows(ids[k : k + STEP])
+                    total += counts[k : k + STEP].astype(np.float32) @ self.vectors[at_rows].astype(np.float32)
                 yield total, len(grams)
 
 
@@ -143,6 +145,8 @@ def fit_prototypes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     total[lang] = total.get(lang, 0) + np.rint(v / size * 4096).astype(np.int64)
         if total:
             yield pa.RecordBatch.from_pydict({"l": list(total), "v": [x.tolist() for x in total.values()]})
+        del hyper
+        give_back()
 
     each = chosen.select("t", "l").mapInArrow(sums, "l string, v array<long>").select("l", F.posexplode("v").alias("k", "x"))
     found: dict[str, np.ndarray] = {}
@@ -174,6 +178,8 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str =
                 found = np.where(short & (said != None), said, found)  # noqa: E711
             accepted = ((cos >= least) | short) & (best < len(langs) - 1)
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], pa.array(found, pa.string()), pa.array(np.round(cos, 6)), pa.array(accepted)], names=[*names, *dict(RESULT)])
+        del hyper
+        give_back()
 
     read = dict.fromkeys([*names, text_col, *([declared] if declared else [])])
     return docs.select(*[docs[f"`{c}`"] for c in read]).mapInArrow(run, schema)

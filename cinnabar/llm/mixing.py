@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cinnabar.llm.common import key_columns, materialize, whole_id
+from cinnabar.llm.common import give_back, key_columns, materialize, whole_id
 from cinnabar.llm.textkern import distinct_per_row, groups, span_hashes, utf8, word_spans
 
 DOMAINS = ["toxic", "low", "high"]
@@ -142,6 +142,7 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
                 slot_bytes += [slots[s:e].astype(np.int32).tobytes() for s, e in zip(ends[:-1], ends[1:], strict=True)]
                 shape_bytes += [x.tobytes() for x in shape]
             yield pa.RecordBatch.from_arrays([b.column("i"), b.column("k"), pa.array(slot_bytes, pa.binary()), pa.array(shape_bytes, pa.binary())], names=["i", "k", "s", "x"])
+        give_back()
 
     got = rows.mapInArrow(run, "i long, k int, s binary, x binary").orderBy("i", "s").limit(train_rows).toArrow()
     model = Classifier(len(DOMAINS))
@@ -165,6 +166,7 @@ def posteriors(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_
                 n.append(tokens)
             every = np.round(np.concatenate(p), 9)
             yield pa.RecordBatch.from_arrays([b.column("__n"), b.column("__d"), b.column("__h"), pa.array(np.concatenate(n)), *[pa.array(np.ascontiguousarray(every[:, k])) for k in range(len(DOMAINS))]], names=["__n", "__d", "__h", "tokens", *[f"p_{d}" for d in DOMAINS]])
+        give_back()
 
     keyed = docs.select(*key_columns(id_col, text_col), F.col(text_col).alias("__t"))
     return keyed.mapInArrow(run, "__n boolean, __d long, __h long, tokens long, " + ", ".join(f"p_{d} double" for d in DOMAINS))

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cinnabar.llm.common import discard, give_back, materialize, whole_id
+from cinnabar.llm.common import discard, give_back, materialize, small_batches, whole_id
 from cinnabar.llm.frequency import Statistics, preference, statistics
 from cinnabar.llm.graph import roots
 from cinnabar.llm.simhash import WORDS, emit
@@ -113,6 +113,7 @@ def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shard_nodes: int = 1 << 11, graph_nodes: int = 1 << 16, beam: int = 16, audit: int = 512, recall: float = 0.9
 ) -> DataFrame:
     """(doc_id, kept_doc_id): every document that is a copy, exact or near, and the one of its group that stays."""
+    small_batches(docs.sparkSession)
     stats = statistics(docs, text_col)
     shards, words, tables = routing(stats.n, shard_nodes)
 

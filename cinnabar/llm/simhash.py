@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 
+from cinnabar.llm.common import give_back
 from cinnabar.llm.frequency import SLOT_BITS
 from cinnabar.llm.textkern import distinct_per_row, groups, mix64, span_hashes, utf8, word_spans
 
@@ -61,5 +62,6 @@ def emit(orders: Callable[[], np.ndarray | None] = lambda: None) -> Callable[[It
             names = b.schema.names[:-1]
             columns = [*[b.column(c) for c in names], *[pa.array(codes.view(np.int64)[:, w]) for w in range(WORDS)], *[pa.array(k) for k in np.ascontiguousarray(keys.T)]]
             yield pa.RecordBatch.from_arrays(columns, names=[*names, *[f"c{w}" for w in range(WORDS)], *[f"k{k}" for k in range(keys.shape[1])]])
+        give_back()
 
     return run

@@ -23,13 +23,23 @@ BATCH = 8192
 #: Doublings of a beam that met none but nodes of the query's own component, after which it isn't doubled again.
 STALE = 2
 #: Nodes in the beams of a batch, at most.
-ROOM = 1 << 21
+ROOM = 1 << 18
+#: Distances that are computed at a time.
+BLOCK = 1 << 15
 
 
 def hamming(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
 
 
+def between(codes: np.ndarray, node: np.ndarray, queries: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """The distance of each of these nodes to the query beside it."""
+    out = np.empty(len(node), np.int64)
+    for k in range(0, len(node), BLOCK):
+        out[k : k + BLOCK] = hamming(codes[node[k : k + BLOCK]], queries[query[k : k + BLOCK]])
+    return out
+
+
 def _keys(query: np.ndarray, dist: np.ndarray, node: np.ndarray) -> np.ndarray:
     return (query.astype(U64) << U64(43)) | (dist.astype(U64) << U64(33)) | (node.astype(U64) << U64(1)) | OPEN
 
@@ -100,7 +110,7 @@ class SmallWorld:
         if keys is None:
             query = np.repeat(np.arange(n), len(self.entries))
             node = np.tile(self.entries, n)
-            keys = _beams(_keys(query, hamming(self.codes[node], queries[query]), node), width)
+            keys = _beams(_keys(query, between(self.codes, node, queries, query), node), width)
         ended = []
         while True:
             still = np.flatnonzero(keys & OPEN)
@@ -120,7 +130,7 @@ class SmallWorld:
             keys[still] &= ~OPEN
             degree = self.degree[node]
             target, query = self.to[ragged(self.at[node], degree)], np.repeat(query, degree)
-            dist = hamming(self.codes[target], queries[query])
+            dist = between(self.codes, target, queries, query)
             all_queries = _query(keys)
             size = np.bincount(all_queries, minlength=n)
             worst = np.where(size >= width, _dist(keys)[np.cumsum(size) - 1], 1023)

@@ -648,3 +648,54 @@ def test_stored_indexes_have_small_cells_and_come_back_whole(monkeypatch):
     for broken in (rows[:-1], rows[1:]):
         with pytest.raises(ValueError):
             list(PK._loaded(iter(broken)))
+
+
+def test_text_kernels_need_little_memory():
+    from cinnabar.llm.frequency import term_counts
+
+    column = pa.array(["some words of a text " * 100] * 2500)
+    for run in (lambda: simhashes(column), lambda: [None for _ in term_counts(column, None)]):
+        tracemalloc.start()
+        run()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 32 << 20  # 90 MB and more in groups of 2 MB
+
+
+def test_a_search_amid_copies_needs_little_memory():
+    from cinnabar.llm.small_world import SmallWorld, components, exact_within
+
+    rng = np.random.default_rng(1)
+    bits = rng.integers(0, 2, (1500, 256), dtype=np.uint8)
+    bits[:1200] = bits[0] ^ (rng.random((1200, 256)) < 0.08)
+    codes = np.unique(np.packbits(bits, axis=1).view(np.uint64), axis=0)
+    root = np.arange(len(codes))
+    tracemalloc.start()
+    for query, node, _ in SmallWorld(codes).within(codes, 52, 16, lambda q, n: root[q] == root[n]):
+        root = components(root, query, node)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.array_equal(root, components(np.arange(len(codes)), *exact_within(codes, codes, 52)))
+    assert peak < 100 << 20  # 160 MB without a bound on the distances computed at once
+
+
+def test_workers_and_readers_get_few_rows_at_a_time(spark):
+    from cinnabar.llm import common as C
+
+    names = (C.ARROW_ROWS, C.READER_ROWS)
+    before = {c: spark.conf.get(c) for c in names}
+    try:
+        import corpus_pipeline as CP
+
+        d = table(spark, "documents")
+        for make in (lambda: CP.language(spark, d, SF), lambda: CP.lines(spark, d, SF), lambda: near_duplicates(d), lambda: PK.pack(d)):
+            for c in names:
+                spark.conf.set(c, "10000")
+            make()
+            assert [int(spark.conf.get(c)) for c in names] == [C.BATCH_ROWS] * 2
+        with PK.one_by_one(spark):
+            assert [int(spark.conf.get(c)) for c in names] == [1, 4]
+        assert [int(spark.conf.get(c)) for c in names] == [C.BATCH_ROWS] * 2
+    finally:
+        for c, value in before.items():
+            spark.conf.set(c, value)
