@@ -699,3 +699,28 @@ def test_workers_and_readers_get_few_rows_at_a_time(spark):
     finally:
         for c, value in before.items():
             spark.conf.set(c, value)
+
+
+def test_packing_bounds_keep_recall(spark, monkeypatch):
+    """Seeds search the shards that a sample says they need: fewer than all, nine of ten best neighbours, and every word is packed."""
+    monkeypatch.setattr(PK, "SAMPLE", 400)
+    monkeypatch.setattr(PK, "EXACT", 400)
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    shares, hits, whole, search = [], [], [], PK.nearest
+
+    def nearest(index, queries, left, used, floors=None, wanted=None, ends=None):
+        lists = search(index, queries, left, used, floors, wanted, ends)
+        if wanted is not None:
+            shares.append(wanted.mean())
+            every = search(index, queries, left, used)
+            for one, all_ in zip(lists[:, : PK.DEPTHS[0]], every[:, : PK.DEPTHS[0]], strict=True):
+                best = np.sort(all_)[-10:]
+                best = set(best[best >= 0].tolist())
+                hits.append(len(best & set(one.tolist())))
+                whole.append(len(best))
+        return lists
+
+    monkeypatch.setattr(PK, "nearest", nearest)
+    rows = PK.pack(d, window=900, shard_docs=100).collect()
+    assert shares and np.mean(shares) < 0.9 and sum(hits) >= 0.9 * sum(whole) > 0
+    assert sum(r["n_tokens"] for r in rows) == sum(len(r["text"].encode().split()) for r in d.where("text is not null").collect())
