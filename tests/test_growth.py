@@ -32,3 +32,8 @@ def test_copies_are_looked_at_once(spark, written):
     assert {r["leader"] for r in rows} <= set(first.values())
     null = spark.createDataFrame([("get_a", None), ("get_a", ""), ("get_a", None)], "name string, code string")
     assert [r["size"] for r in similarity.similarity_clusters(null).collect()] == [3]
+
+
+def test_merged_clusters_walk_once(spark, written):
+    merged = similarity.merged_clusters(_copies(spark)).collect()
+    assert written.count("families") == 1 and sum(r["size"] for r in merged) == 120
