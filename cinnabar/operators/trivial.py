@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from cinnabar.functions import text as X
 from cinnabar.functions.parsing import count_statements
+from cinnabar.sources.scratch import spread
 
 CONVERTERS = [f"{a}_{b}" for a in ("as", "from", "to") for b in ("str", "string", "json", "dict")] + sorted(["serialize", "deserialize", "encode", "decode"])
 #: Special methods that the central filter knows.
@@ -80,13 +81,13 @@ def exclude_reason(c: Column, rules: Trivial = Trivial()) -> Column:  # noqa: B0
 
 def keep(records: DataFrame, code_col: str = "code_content", rules: Trivial = Trivial()) -> DataFrame:  # noqa: B008
     """Records that aren't trivial."""
-    counted = records.withColumn("__c", count_statements(code_col))
+    counted = spread(records, code_col).withColumn("__c", count_statements(code_col))
     return counted.where(exclude_reason(F.col("__c"), rules).isNull()).drop("__c")
 
 
 def exclusion_stats(records: DataFrame, code_col: str = "code_content", rules: Trivial = Trivial()) -> DataFrame:  # noqa: B008
     """total, excluded, included, exclusion_rate, and how many by each reason; what doesn't parse counts as excluded here."""
-    c = records.select(count_statements(code_col).alias("c")).select(F.when(F.col("c.kind") == "error", "parse_error").otherwise(exclude_reason(F.col("c"), rules)).alias("why"))
+    c = spread(records.select(code_col), code_col).select(count_statements(code_col).alias("c")).select(F.when(F.col("c.kind") == "error", "parse_error").otherwise(exclude_reason(F.col("c"), rules)).alias("why"))
     sums = c.agg(F.count(F.lit(1)).alias("total"), F.count("why").alias("excluded"), *[F.count_if(F.col("why") == r).alias(r) for r in [*REASONS, "parse_error"]])
     rate = F.when(F.col("total") > 0, F.col("excluded") / F.col("total")).otherwise(0.0)
     return sums.select("total", "excluded", (F.col("total") - F.col("excluded")).alias("included"), F.round(rate, 6).alias("exclusion_rate"), *REASONS, "parse_error")
