@@ -86,3 +86,20 @@ def test_structural_simhash_by_its_features(spark, sources):
         assert h == detect.simhash_int(f, [3 if x.startswith("class:") else 2 if x.startswith("func:") else 1 for x in f])
     named = {r["id"]: r for r in detect.classes(spark.createDataFrame([(1, 5), (2, 5), (3, None), (4, None)], "id long, simhash long"), "simhash").collect()}
     assert [(named[k]["class_id"], named[k]["copies"]) for k in (1, 2, 3, 4)] == [(1, 2), (1, 2), (3, 2), (3, 2)]
+
+
+def test_simhash_memory_follows_no_batch():
+    """A batch of 600,000 different words takes the memory of some rows of it."""
+    import tracemalloc
+
+    words = pa.array([[f"{i}-{k}" for k in range(500)] for i in range(1200)])
+    tracemalloc.start()
+    got = detect._simhashes(words, None)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150e6 and got[7].as_py() % 2**64 == detect.simhash_int([f"7-{k}" for k in range(500)])
+
+
+def test_simhash_batches_are_small(spark):
+    detect.word_simhashes(spark.createDataFrame([(1, "a b")], "id long, code_content string"))
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
