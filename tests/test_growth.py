@@ -103,3 +103,8 @@ def test_simhash_memory_follows_no_batch():
 def test_simhash_batches_are_small(spark):
     detect.word_simhashes(spark.createDataFrame([(1, "a b")], "id long, code_content string"))
     assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
+
+
+def test_searches_make_codes_once(spark):
+    for name in ("simhash_search_12", "confidence_bands"):
+        assert "EvalPython" not in Q.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
